@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import sharding
+from agoraflow.llm import sharding, warc
 
 QUERIES = {
     "op4_virtual_slots": sharding.query,
+    "op7_salvage_warc": warc.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_salvage_warc": warc.SQL,
+}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import sharding, warc
+from agoraflow.llm import divergence, sharding, warc
 
 QUERIES = {
     "op4_virtual_slots": sharding.query,
+    "op5_divergence": divergence.query,
     "op7_salvage_warc": warc.query,
 }
 

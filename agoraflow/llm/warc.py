@@ -29,6 +29,8 @@ from agoraflow.llm.shared import fresh_path, staged
 
 #: A task begins another file after so many bytes.
 FILE_BYTES = 64 << 20
+#: Tasks that read at most.
+READ_TASKS = 4096
 #: Bytes read at a time.
 BLOCK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -196,11 +198,12 @@ def typed(pages: DataFrame) -> DataFrame:
     Only ids and digests meet by digest, where copies may be many; html is dealt by id and digest.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    slim = base.select("page_id", "digest").distinct()
+    base = base.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    slim = base.select("key", "page_id", "digest").distinct()
     groups = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    known = slim.join(groups, "digest").withColumnRenamed("digest", "d").withColumnRenamed("page_id", "p")
-    both = base.join(known, (F.col("page_id").eqNullSafe(F.col("p"))) & (F.col("digest") == F.col("d"))).drop("p", "d")
-    nth = F.row_number().over(W.partitionBy("page_id", "digest").orderBy("url"))
+    # the window has the keys of the join, so html is shuffled once
+    both = base.join(slim.join(groups, "digest").drop("page_id"), ["key", "digest"])
+    nth = F.row_number().over(W.partitionBy("key", "digest").orderBy("url"))
     return both.withColumn("nth", nth).withColumn("first", (F.col("nth") == 1) & F.col("page_id").eqNullSafe(F.col("refers_to")))
 
 
@@ -263,7 +266,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                             rows.clear()
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.repartition(F.col("path")).mapInArrow(read, READ_SCHEMA)
+    parts = min(max(1, files.count()), READ_TASKS)
+    return files.repartition(parts, "path").mapInArrow(read, READ_SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,18 @@
+"""Splitting text so that byte-level BPE can work on distinct pieces.
+
+The public split pattern never matches across a place where a character that is not white space meets white space,
+so a text falls into chunks (white space, then what follows it) that are split and encoded each by itself.
+"""
+
+from __future__ import annotations
+
+import re
+
+_CHUNK = re.compile(r"\s*\S+|\s+")
+#: Characters that Python counts as white space and the pattern does not.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def chunks(text: str) -> list[str]:
+    """The chunks of a text; their concatenation is the text."""
+    return [text] if _ODD.search(text) else _CHUNK.findall(text)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import bpe, divergence, sharding, warc
+from agoraflow.llm import bpe, brown, divergence, sharding, warc
 
 QUERIES = {
+    "op1_brown": brown.query,
     "op3_fold_bpe": bpe.query,
     "op4_virtual_slots": sharding.query,
     "op5_divergence": divergence.query,

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import bpe, brown, divergence, sharding, warc
+from agoraflow.llm import bpe, brown, decontaminate, divergence, sharding, warc
 
 QUERIES = {
     "op1_brown": brown.query,
     "op3_fold_bpe": bpe.query,
     "op4_virtual_slots": sharding.query,
     "op5_divergence": divergence.query,
+    "op9_spaced_seeds": decontaminate.query,
     "op7_salvage_warc": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_spaced_seeds": decontaminate.query,
     "op7_salvage_warc": warc.SQL,
 }

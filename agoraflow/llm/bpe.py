@@ -21,15 +21,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agoraflow.llm.pretokens import chunks
-from agoraflow.llm.shared import dropped, fresh_path, staged
+from agoraflow.llm.shared import fresh_path, staged
 
 BLOCK_WORDS = 400_000
 #: Buckets of the literal map: a lookup walks through the few entries of one.
@@ -78,9 +81,18 @@ def encoded_word(word: Column, ranks: Column) -> Column:
     return _let(rank(whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(folded, rank)))
 
 
+def planes(numbers: bytes) -> bytes:
+    """The bytes of 32-bit numbers, first all lowest bytes, last all highest: compresses better."""
+    return np.frombuffer(numbers, np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> bytes:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.tobytes()
+
+
 def blocks(docs: DataFrame, pattern: str, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (block, word, number) for each distinct word of a block and rows (block, doc_id, words) for each document."""
-    schema = pa.schema([("block", pa.string()), ("doc_id", pa.int64()), ("words", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -91,27 +103,28 @@ def blocks(docs: DataFrame, pattern: str, block_words: int = BLOCK_WORDS) -> Dat
                 self[chunk] = out = array.array("I", [number.setdefault(w, len(number)) for w in find(chunk)]).tobytes()
                 return out
 
-        known, block = Known(), uuid.uuid4().hex
+        # blocks of a task count up from its number: unique, as the table keeps one attempt of each task
+        known, block = Known(), TaskContext.get().partitionId() << 20
 
         def words() -> Iterator[pa.RecordBatch]:
             rows = list(number)
             for i in range(0, len(rows), 50_000):
                 part = rows[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.string())], schema=schema)
 
         for batch in batches:
-            out: list[tuple[str, int | None, bytes]] = []
+            out: list[tuple[int, int | None, bytes]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((block, doc_id, b"".join(map(known.__getitem__, chunks(text or "")))))
+                out.append((block, doc_id, planes(b"".join(map(known.__getitem__, chunks(text or ""))))))
                 if len(number) >= block_words:
                     yield from words()
                     number.clear()
                     known.clear()
-                    block = uuid.uuid4().hex
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.string())], schema=schema)
+                    block += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.string())], schema=schema)
         yield from words()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block string, doc_id long, words binary, number int, word string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block long, doc_id long, words binary, number int, word string")
 
 
 def write_tables(encoded: DataFrame, folder: str) -> DataFrame:
@@ -140,9 +153,9 @@ def write_tables(encoded: DataFrame, folder: str) -> DataFrame:
                     at, parts = names[a].as_py(), []
                 parts.append(batch.select(["ids"]).slice(a, b - a))
         close()
-        yield pa.RecordBatch.from_pydict({"block": pa.array(done, pa.string())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(done, pa.int64())})
 
-    return staged(encoded.mapInArrow(write, "block string"), "bpe-blocks")
+    return staged(encoded.mapInArrow(write, "block long"), "bpe-blocks")
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -155,15 +168,14 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
     ids = encoded_word(F.col("word"), rank_map(ranks))
     # each id as eight hexadecimal digits, lowest byte first
     little = F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(*[F.lpad(F.hex(F.shiftright(i, s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)])), ""))
-    table = staged(words.select("word").distinct().select("word", little.alias("ids")), "bpe-words")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing refers to any more
-    back = words.join(table.hint("merge"), "word").select("block", "number", "ids")
+    # one shuffle brings equal words together: the first row of each is encoded, the others take over its ids
+    same = W.partitionBy("word").orderBy("block")
+    once = words.withColumn("nth", F.row_number().over(same)).withColumn("own", F.when(F.col("nth") == 1, little))
+    back = once.select("block", "number", F.first("own", ignorenulls=True).over(same).alias("ids"))
     folder = fresh_path(spark, "bpe-tables")
     count = max(1, split.select("block").distinct().count())
     write_tables(back.repartition(min(count, 4096), "block").sortWithinPartitions("block", "number"), folder)
-    dropped(spark, table)
-    vocabulary = {t: i for i, t in enumerate(pieces.value)} == ranks
-    if not vocabulary:
+    if {t: i for i, t in enumerate(pieces.value)} != ranks:
         raise ValueError("ranks are not 0, 1, 2 ...")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +187,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
                 if words and block != at:
                     with store.open_input_file(f"{root}/{block}.arrow") as raw:
                         at, ids = block, pa.ipc.open_file(raw).read_all().column(0).to_pylist()
-                data = b"".join(map(ids.__getitem__, array.array("I", words)))
+                data = b"".join(map(ids.__getitem__, array.array("I", from_planes(words))))
                 out.append((data, b"".join(map(piece.__getitem__, array.array("I", data)))))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(a) // 4 for a, _ in out], pa.int64()), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import bpe, brown, decontaminate, divergence, sharding, toxicity, warc
+from agoraflow.llm import bpe, brown, decontaminate, divergence, jaccard, sharding, toxicity, warc
 
 QUERIES = {
     "op1_brown": brown.query,
@@ -10,12 +10,14 @@ QUERIES = {
     "op4_virtual_slots": sharding.query,
     "op5_divergence": divergence.query,
     "op9_spaced_seeds": decontaminate.query,
+    "op10_signature_trees": jaccard.query,
     "op6_compression": toxicity.query,
     "op7_salvage_warc": warc.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_spaced_seeds": decontaminate.query,
+    "op10_signature_trees": jaccard.query,
     "op6_compression": toxicity.query,
     "op7_salvage_warc": warc.SQL,
 }

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraflow.llm.shared import fresh_path, staged
@@ -37,6 +37,7 @@ SKETCH = 1 << 20
 SLICES = 64
 #: Word hashes that a task remembers.
 KNOWN_WORDS = 500_000
+MARK, BROADCAST_ROWS = "_j_mark", 200_000
 #: Children of a tree node.
 FANOUT = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -136,9 +137,14 @@ def tree_pairs(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray) -> I
                 yield own[i], more[j]
 
 
+def row_mark() -> Column:
+    """A hash of id and text: rows with equal marks are repeated rows."""
+    return F.xxhash64("doc_id", "text").alias("mark")
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """Rows (ref, doc_id, n, key, own) of documents, own (the set) only where the task meets it first, and rows (slice, counts) of the sketch."""
-    schema = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("own", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+    """Rows (ref, doc_id, mark, n, key, own) of documents, own (the set) only where the task meets it first, and rows (slice, counts) of the sketch."""
+    schema = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("own", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class Hashes(dict):
@@ -150,7 +156,7 @@ def shingled(docs: DataFrame) -> DataFrame:
         ref = TaskContext.get().partitionId() << 32
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if len(hashes) > KNOWN_WORDS:
                     hashes.clear()
                 own = shingles(np.array(array.array("Q", map(hashes.__getitem__, (text or "").encode().lower().split())), np.uint64))
@@ -159,15 +165,15 @@ def shingled(docs: DataFrame) -> DataFrame:
                 if first:
                     seen.add(key)
                     np.add.at(sketch, (own & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-                rows.append((ref, doc_id, len(own), key, own.tobytes() if first else None))
+                rows.append((ref, doc_id, mark, len(own), key, own.tobytes() if first else None))
                 ref += 1
             m = len(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], schema.field(i).type) for i in range(5)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         if seen:
             part = sketch.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, schema.field(i).type) for i in range(5)), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, schema.field(i).type) for i in range(6)), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "ref long, doc_id long, n long, key binary, own binary, slice int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_mark()).mapInArrow(run, "ref long, doc_id long, mark long, n long, key binary, own binary, slice int, counts binary")
 
 
 def frequency_sketch(parts: DataFrame) -> np.ndarray:
@@ -346,7 +352,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and ref (a number of the row) of every document."""
+    """doc_id, n_shingles, component_id, ref (a number of the row), mark and group of every document."""
     spark = docs.sparkSession
     table = staged(shingled(docs), "shingles")
     rows = table.where("ref IS NOT NULL")
@@ -374,10 +380,29 @@ def link_documents(docs: DataFrame) -> DataFrame:
     roots = components(first.unionByName(second))
     named_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named_nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = named_nodes.join(least, "root").select(F.col("key").alias("k"), "component_id")
-    slim = rows.select("ref", "doc_id", "n", "key")
-    linked = slim.where("n > 0").join(of_key, F.col("key") == F.col("k")).select("ref", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(slim.where("n = 0").select("ref", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    of_key = named_nodes.join(least, "root").select(F.col("key").alias("k"), "component_id", F.col("root").alias("group"))
+    slim = rows.select("ref", "doc_id", "mark", F.col("n").alias("n_shingles"), "key")
+    linked = slim.where("n_shingles > 0").join(of_key, F.col("key") == F.col("k")).drop("key", "k")
+    alone = slim.where("n_shingles = 0").select("ref", "doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.col("ref").alias("group"))
+    return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, that of the least id, with its own columns; documents without shingles all stay.
+
+    The rows to drop are broadcast up to BROADCAST_ROWS, else joined by key.
+    """
+    rows = staged(link_documents(docs).select("doc_id", "mark", "n_shingles", "group"), "linked").where("n_shingles > 0")
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark"))["mark"].alias("best"))
+    judged = staged(rows.join(best, "group").groupBy("mark").agg(F.max(F.col("mark") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("times")).where("NOT stays OR times > 1"), "judged")
+    held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    own = [f"`{c}`" for c in docs.columns]
+    marked = docs.withColumn(MARK, row_mark())
+    once = marked.join(held(judged.select(F.col("mark").alias(MARK))), MARK, "left_anti")
+    again = judged.where("stays").select(F.col("mark").alias(MARK))
+    if not again.isEmpty():
+        once = once.unionByName(marked.join(held(again), MARK, "left_semi").dropDuplicates([MARK]))
+    return once.select(*own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import bpe, brown, decontaminate, divergence, jaccard, sharding, toxicity, warc
+from agoraflow.llm import bpe, brown, decontaminate, divergence, extract, jaccard, sharding, toxicity, warc
 
 QUERIES = {
     "op1_brown": brown.query,
+    "op2_text_density": extract.query,
     "op3_fold_bpe": bpe.query,
     "op4_virtual_slots": sharding.query,
     "op5_divergence": divergence.query,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from agoraflow.llm import bpe, brown, decontaminate, divergence, extract, jaccard, sharding, toxicity, warc
+from agoraflow.llm import bpe, brown, decontaminate, divergence, extract, jaccard, repair, sharding, toxicity, warc
 
 QUERIES = {
     "op1_brown": brown.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fold_bpe": bpe.query,
     "op4_virtual_slots": sharding.query,
     "op5_divergence": divergence.query,
+    "op8_repair": repair.query,
     "op9_spaced_seeds": decontaminate.query,
     "op10_signature_trees": jaccard.query,
     "op6_compression": toxicity.query,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_repair": repair.query,
     "op9_spaced_seeds": decontaminate.query,
     "op10_signature_trees": jaccard.query,
     "op6_compression": toxicity.query,

@@ -1 +1 @@
-"""functions"""
+"""Column functions: texts, durations, addresses, web paths, mail and identifiers."""

@@ -1 +1 @@
-"""plans"""
+"""Named queries over the driver's tables."""

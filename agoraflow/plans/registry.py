@@ -1,5 +1,7 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""All queries over the driver's tables, each with its SQL where SQL can express it."""
 
-QUERIES = {}
-SQL = {}
-FLAGSHIP = ""
+from agoraflow.plans import relational, rules
+
+QUERIES = {**relational.Q, **rules.Q}
+SQL = {**relational.SQL, **rules.SQL}
+FLAGSHIP = "feed_page"

@@ -1 +1 @@
-"""sources"""
+"""Tables from files and databases, catalogs, configuration, mail and uploads."""

@@ -1,12 +1,12 @@
 """Byte-level BPE over the distinct words of a corpus, and decoding.
 
 A first pass splits documents into words (matches of the split pattern) and writes, block by block, the block's
-distinct words and each document as numbers of words. Every distinct word of the corpus is then encoded once: higher-order
-functions fold the ranked merges over its bytes, with ranks from a literal map. The encodings return to the blocks as
-one file each, and documents are put together from them. Decoding concatenates the pieces of the ids.
+distinct words, by hash into buckets, and each document as numbers of words. Buckets meet, and every distinct word of the
+corpus is encoded once: higher-order functions fold the ranked merges over its bytes, with ranks from a literal map. The
+encodings return to the blocks as one file each, and documents are put together from them. Decoding concatenates the pieces of the ids.
 
-A block ends at BLOCK_WORDS distinct words, so neither a task nor a file grows with the corpus, and what is shuffled is
-a row for each distinct word of a block.
+A block ends at BLOCK_WORDS distinct words, so neither a task nor a file grows with the corpus. What is shuffled are the
+distinct words of blocks and their ids, many to a row; buckets are four for each shuffle partition.
 
 Defined results: null and empty texts have no ids; a null id stays; repeated rows are encoded alike; very long texts
 are split over no blocks (a block ends between documents); an empty table gives an empty result; other columns are not read.
@@ -28,7 +28,6 @@ import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agoraflow.llm.pretokens import chunks
@@ -90,9 +89,20 @@ def from_planes(data: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(4, -1).T.tobytes()
 
 
-def blocks(docs: DataFrame, pattern: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (block, word, number) for each distinct word of a block and rows (block, doc_id, words) for each document."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("words", pa.binary()), ("number", pa.int32()), ("word", pa.string())])
+def packed(*columns: np.ndarray, data: bytes = b"") -> bytes:
+    """Columns of 32-bit numbers of one length, and bytes after them."""
+    return b"".join([np.uint32(len(columns[0])).tobytes(), *(planes(c.astype(np.uint32).tobytes()) for c in columns), data])
+
+
+def unpacked(data: bytes, columns: int) -> list[np.ndarray | bytes]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    out: list = [np.frombuffer(from_planes(data[4 + 4 * n * i : 4 + 4 * n * (i + 1)]), np.uint32) for i in range(columns)]
+    return [*out, data[4 + 4 * n * columns :]]
+
+
+def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (block, bucket, data) with the distinct words of a block that fall into a bucket by hash, and rows (block, doc_id, data) for each document."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -107,10 +117,15 @@ def blocks(docs: DataFrame, pattern: str, block_words: int = BLOCK_WORDS) -> Dat
         known, block = Known(), TaskContext.get().partitionId() << 20
 
         def words() -> Iterator[pa.RecordBatch]:
-            rows = list(number)
-            for i in range(0, len(rows), 50_000):
-                part = rows[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.string())], schema=schema)
+            held = [w.encode() for w in number]
+            bucket = np.array([zlib.crc32(w) % buckets for w in held], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows = []
+            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
+                part = [held[i] for i in own.tolist()]
+                rows.append((int(bucket[own[0]]), packed(own, np.array([len(w) for w in part]), data=b"".join(part))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
 
         for batch in batches:
             out: list[tuple[int, int | None, bytes]] = []
@@ -121,14 +136,59 @@ def blocks(docs: DataFrame, pattern: str, block_words: int = BLOCK_WORDS) -> Dat
                     number.clear()
                     known.clear()
                     block += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.nulls(len(out), pa.int32()), pa.array([r[2] for r in out], pa.binary())], schema=schema)
         yield from words()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block long, doc_id long, words binary, number int, word string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block long, doc_id long, bucket int, data binary")
+
+
+def distinct_words(rows: DataFrame) -> DataFrame:
+    """(word, blocks, numbers): each distinct word with its places; rows (block, bucket, data) come sorted by bucket."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            items = list(held.items())
+            for i in range(0, len(items), 5000):
+                part = items[i : i + 5000]
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in part], pa.string()), pa.array([v[::2] for _, v in part], pa.list_(pa.int64())), pa.array([v[1::2] for _, v in part], pa.list_(pa.int32()))], names=["word", "blocks", "numbers"])
+
+        for batch in batches:
+            for block, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != at:
+                    yield from told()
+                    at, held = bucket, {}
+                numbers, sizes, text = unpacked(data, 2)
+                end = np.cumsum(sizes).tolist()
+                for n, a, b in zip(numbers.tolist(), [0, *end], end):
+                    held.setdefault(text[a:b], []).extend((block, n))
+        yield from told()
+
+    return rows.select("block", "bucket", "data").mapInArrow(merge, "word string, blocks array<long>, numbers array<int>")
+
+
+def by_block(encoded: DataFrame) -> DataFrame:
+    """(block, data) from (blocks, numbers, ids): the ids of words go back to every block that has them."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, numbers, ids = batch.columns
+            word = np.repeat(np.arange(batch.num_rows), np.diff(blocks.offsets.to_numpy()))
+            block, number = blocks.flatten().to_numpy(), numbers.flatten().to_numpy()
+            order = np.argsort(block, kind="stable")
+            rows = []
+            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
+                part = ids.take(pa.array(word[own]))
+                flat = part.flatten().to_numpy().astype(np.uint32)
+                rows.append((int(block[own[0]]), packed(number[own], np.diff(part.offsets.to_numpy()), data=planes(flat.tobytes()))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
+
+    return encoded.select("blocks", "numbers", "ids").mapInArrow(pack, "block long, data binary")
 
 
-def write_tables(encoded: DataFrame, folder: str) -> DataFrame:
-    """One file for each block with the ids of its words in order; returns the blocks."""
+def write_tables(rows: DataFrame, folder: str) -> DataFrame:
+    """One file for each block with the ids of its words in order, from rows (block, data) sorted by block; returns the blocks."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -136,26 +196,32 @@ def write_tables(encoded: DataFrame, folder: str) -> DataFrame:
         at, parts, done = None, [], []
 
         def close() -> None:
-            if at is not None:
-                held = pa.Table.from_batches(parts).combine_chunks()
-                own = f"{root}/{at}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(own, compression=None) as raw, pa.ipc.new_file(raw, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
-                    sink.write_table(held)
-                store.move(own, f"{root}/{at}.arrow")  # any attempt's file is whole and the same
-                done.append(at)
+            if at is None:
+                return
+            numbers, sizes = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2))
+            flat = np.concatenate([np.frombuffer(from_planes(p[2]), np.uint32) for p in parts])
+            start, order = np.cumsum(sizes) - sizes, np.argsort(numbers)
+            size = sizes[order]
+            end = np.cumsum(size)
+            ids = flat[np.repeat(start[order] - end + size, size) + np.arange(len(flat))]
+            offsets = np.concatenate([[0], end * 4]).astype(np.int64)
+            held = pa.table({"ids": pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])})
+            own = f"{root}/{at}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(own, compression=None) as raw, pa.ipc.new_file(raw, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
+                sink.write_table(held)
+            store.move(own, f"{root}/{at}.arrow")  # any attempt's file is whole and the same
+            done.append(at)
 
         for batch in batches:
-            names = batch.column(0)
-            begins = [0, *[i for i, x in enumerate(pa.compute.not_equal(names[1:], names[:-1]).to_pylist(), 1) if x]] if batch.num_rows else []
-            for a, b in zip(begins, [*begins[1:], batch.num_rows], strict=True):
-                if names[a].as_py() != at:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != at:
                     close()
-                    at, parts = names[a].as_py(), []
-                parts.append(batch.select(["ids"]).slice(a, b - a))
+                    at, parts = block, []
+                parts.append(unpacked(data, 2))
         close()
         yield pa.RecordBatch.from_pydict({"block": pa.array(done, pa.int64())})
 
-    return staged(encoded.mapInArrow(write, "block long"), "bpe-blocks")
+    return staged(rows.mapInArrow(write, "block long"), "bpe-blocks")
 
 
 def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -163,18 +229,14 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
     spark = docs.sparkSession
     ranks = load_ranks(rank_file or public_tokenizers.path(RANKS))
     pieces = spark.sparkContext.broadcast([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])])  # the vocabulary: a fixed size
-    split = staged(blocks(docs, pattern, block_words), "bpe-split")
-    words = split.where("word IS NOT NULL").select("block", "number", "word")
-    ids = encoded_word(F.col("word"), rank_map(ranks))
-    # each id as eight hexadecimal digits, lowest byte first
-    little = F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(*[F.lpad(F.hex(F.shiftright(i, s).bitwiseAND(255)), 2, "0") for s in (0, 8, 16, 24)])), ""))
-    # one shuffle brings equal words together: the first row of each is encoded, the others take over its ids
-    same = W.partitionBy("word").orderBy("block")
-    once = words.withColumn("nth", F.row_number().over(same)).withColumn("own", F.when(F.col("nth") == 1, little))
-    back = once.select("block", "number", F.first("own", ignorenulls=True).over(same).alias("ids"))
+    tasks = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    split = staged(blocks(docs, pattern, 4 * tasks, block_words), "bpe-split")
+    words = split.where("bucket IS NOT NULL").select("block", "bucket", "data")
+    distinct = distinct_words(words.repartition(tasks, "bucket").sortWithinPartitions("bucket"))
+    back = by_block(distinct.select("blocks", "numbers", encoded_word(F.col("word"), rank_map(ranks)).alias("ids")))
     folder = fresh_path(spark, "bpe-tables")
     count = max(1, split.select("block").distinct().count())
-    write_tables(back.repartition(min(count, 4096), "block").sortWithinPartitions("block", "number"), folder)
+    write_tables(back.repartition(min(count, 4096), "block").sortWithinPartitions("block"), folder)
     if {t: i for i, t in enumerate(pieces.value)} != ranks:
         raise ValueError("ranks are not 0, 1, 2 ...")
 
@@ -191,7 +253,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str
                 out.append((data, b"".join(map(piece.__getitem__, array.array("I", data)))))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(a) // 4 for a, _ in out], pa.int64()), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return split.where("words IS NOT NULL").select("block", "doc_id", "words").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return split.where("bucket IS NULL").select("block", "doc_id", "data").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """N-gram Jaccard join with signature trees.
 
 Texts with the same shingle set are one node. Nodes whose sets can reach the similarity share a shingle among the first
-n - ceil(0.75 n) + 1 of their sets in any common order; the order used here puts shingles that a sketch counts as
-frequent last, so passages of many documents seldom bring nodes together. Nodes that meet under a shingle form a group.
-Each is first compared with the group's least node alone, which contracts groups of copies. Groups that still hold
+n - ceil(0.75 n) + 1 of their sets in any common order; the order used here is that of a sketch's counts, rare ones
+first, so passages of many documents seldom bring nodes together. Nodes that meet under a shingle form a group.
+Each is first compared with its neighbour in order of size alone, which contracts groups of copies. Groups that still hold
 several classes go through a signature tree: leaves hold bitmaps of shingles, inner nodes the OR of their children and
 the range of their sizes, and a dual traversal leaves out pairs of tree nodes whose sizes, classes or possible overlap
 exclude a link. What remains is compared set by set. Components are found by large-star and small-star rounds.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm.shared import fresh_path, staged
+from agoraflow.llm.shared import dropped, fresh_path, staged
 from agoraflow.llm.sidefiles import read_numbers, write_numbers
 
 WORDS, PERCENT = 5, 75
@@ -198,7 +198,6 @@ def prefixes(sets: DataFrame, folder: str, sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
-        usual = 4 * counts.mean() + 32
         at, wanted = None, frozenset()
         for batch in batches:
             hs, nodes, ns = [], [], []
@@ -209,8 +208,7 @@ def prefixes(sets: DataFrame, folder: str, sketch) -> DataFrame:
                     continue
                 own = np.frombuffer(data, np.uint64)
                 count = counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
-                level = np.where(count > usual, count, 0)
-                first = own[np.lexsort((own, level))[: len(own) - -(-PERCENT * len(own) // 100) + 1]]
+                first = own[np.lexsort((own, count))[: len(own) - -(-PERCENT * len(own) // 100) + 1]]
                 hs.append(first)
                 nodes.append(np.full(len(first), ref, np.int64))
                 ns.append(np.full(len(first), len(own), np.int32))
@@ -221,35 +219,25 @@ def prefixes(sets: DataFrame, folder: str, sketch) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """(h, node, pivot) of every shingle under which two or more nodes meet; rows come sorted by h and node."""
+    """(h, node, prior) of every shingle under which two or more nodes meet, prior being the node before, -1 for the first; rows come sorted by h, n and node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last shingle of a batch may go on in the next; of a long group only its least node is held over
-        last_h = last_node = pivot = None
-        told = False
+        last_h = last_node = None
+        told = True
         for batch in batches:
             h, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             if not len(h):
                 continue
-            start = np.r_[True, h[1:] != h[:-1]]
-            start[0] = h[0] != last_h
-            first = np.where(start)[0]
-            of = np.cumsum(start) - 1
-            pivots = node[first][of] if len(first) and of[0] >= 0 else np.where(of < 0, pivot, node[first][np.maximum(of, 0)] if len(first) else pivot)
-            out = ~start
-            shared = np.zeros(len(h), bool)
-            shared[:-1] = start[:-1] & ~start[1:]  # the least node of a group that goes on in this batch
-            keep = out | shared
-            extra = []
-            if out[0] and not told:
-                extra = [(last_h, last_node, pivot)]
-            kh, kn, kp = h[keep], node[keep], pivots[keep]
-            if extra:
-                kh, kn, kp = np.r_[extra[0][0], kh], np.r_[extra[0][1], kn], np.r_[extra[0][2], kp]
-            last_h, last_node, pivot, told = int(h[-1]), int(node[-1]), int(pivots[-1]), bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (kh, kn, kp)], names=["h", "node", "pivot"])
-
-    return rows.mapInArrow(run, "h long, node long, pivot long")
+            after = np.r_[h[0] == last_h, h[1:] == h[:-1]]
+            keep = after | np.r_[after[1:], False]
+            prior = np.where(after, np.r_[last_node if after[0] else -1, node[:-1]], -1)
+            out = [h[keep], node[keep], prior[keep]]
+            if after[0] and not told:  # the row before this batch turns out to begin a group
+                out = [np.r_[x, y] for x, y in zip((last_h, last_node, -1), out, strict=True)]
+            last_h, last_node, told = int(h[-1]), int(node[-1]), bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["h", "node", "prior"])
+
+    return rows.select("h", "node").mapInArrow(run, "h long, node long, prior long")
 
 
 def signatures(sets: DataFrame, folder: str) -> DataFrame:
@@ -355,22 +343,23 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, ref (a number of the row), mark and group of every document."""
     spark = docs.sparkSession
     table = staged(shingled(docs), "shingles")
-    rows = table.where("ref IS NOT NULL")
+    rows = staged(table.where("ref IS NOT NULL").select("ref", "doc_id", "mark", "n", "key"), "rows")
     sketch = spark.sparkContext.broadcast(frequency_sketch(table.where("slice IS NOT NULL").select("slice", "counts")))
     nodes = staged(rows.where("n > 0").groupBy("key").agg(F.min("ref").alias("node"), F.min("doc_id").alias("least")), "nodes")
-    sets = rows.where("own IS NOT NULL").select("ref", "own")
+    sets = table.where("own IS NOT NULL").select("ref", "own")
     named = fresh_path(spark, "nodes")
     write_numbers(nodes.select("node"), named)
     met = prefixes(sets, named, sketch)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meetings = staged(groups(met.select("h", "node").repartition(parts, "h").sortWithinPartitions("h", "node")), "meetings")
+    meetings = staged(groups(met.repartition(parts, "h").sortWithinPartitions("h", "n", "node")), "meetings")
     spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing refers to any more
     taken = fresh_path(spark, "active")
     write_numbers(meetings.select("node").distinct(), taken)
     active = staged(signatures(sets, taken), "active")
-    stars = meetings.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = staged(compared(compared(stars, active, "bits"), active, "own"), "star-links")
-    label = first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))
+    dropped(spark, table)
+    chain = meetings.where("prior >= 0").select(F.least("prior", "node").alias("a"), F.greatest("prior", "node").alias("b")).distinct()
+    first = staged(compared(compared(chain, active, "bits"), active, "own"), "chain-links")
+    label = components(first).withColumnRenamed("root", "to")  # contracts groups of copies before the trees
     labelled = meetings.select("h", "node").join(label, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
     labelled = staged(labelled, "labelled")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")

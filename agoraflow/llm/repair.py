@@ -17,6 +17,7 @@ order of a hash of the text; an empty table gives no file and an empty result; o
 from __future__ import annotations
 
 import array
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -39,8 +40,8 @@ SHARD_IDS = 1 << 21
 ROUNDS, LEAST_COUNT, BINS, PAIRS = 8, 16, 1 << 20, 2000
 #: A round that saves a smaller share of the symbols is the last.
 LEAST_SAVING = 0.01
-#: Distinct chunks whose ids a task remembers.
-KNOWN_CHUNKS = 600_000
+#: Distinct chunks, and distinct pieces, whose ids a worker remembers.
+KNOWN = 800_000
 MAGIC = b"RPAIR001"
 
 
@@ -56,29 +57,43 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.char = [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.pieces = _Filled(self._piece)
+        self.known = _Filled(self._chunk)
 
-    def piece(self, word: str) -> bytes:
-        if (out := self.pieces.get(word)) is None:
-            spelt = "".join([self.char[b] for b in word.encode()])
-            self.pieces[word] = out = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        return out
+    def _piece(self, word: str) -> bytes:
+        spelt = "".join([self.char[b] for b in word.encode()])
+        return array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        if (out := self.known.get(chunk)) is None:
-            self.known[chunk] = out = b"".join(map(self.piece, self.find(chunk)))
-        return out
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned 32-bit numbers."""
-        if len(self.known) > KNOWN_CHUNKS:
-            self.known.clear()
-            self.pieces.clear()
-        return b"".join(map(self.chunk, chunks(text)))
+        for held in (self.known, self.pieces):
+            if len(held) > KNOWN:
+                held.clear()
+        return b"".join(map(self.known.__getitem__, chunks(text)))
+
+
+class _Filled(dict):
+    """A dictionary that computes what it lacks."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = out = self.make(key)
+        return out
+
+
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker: what it knows serves the next task."""
+    return Encoder(path)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, each document's end among them, rules and expansion lengths. ids < first; ends: where documents end."""
     seq, rules, lengths = ids.astype(np.uint32), [], []
     size = np.ones(first, np.uint32)
@@ -88,9 +103,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, end: int = END) -> t
             break
         a, b = seq[:-1], seq[1:]
         h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(12)
+        h = h.astype(np.int64)
         counts = np.bincount(h, minlength=BINS)
         limit = max(LEAST_COUNT, int(np.partition(counts, -PAIRS)[-PAIRS]))
-        at = np.flatnonzero((counts[h] >= limit) & (a != end))
+        within = np.ones(len(a), bool)
+        within[ends[ends < len(seq)] - 1] = False
+        at = np.flatnonzero((counts >= limit)[h] & within)
         pairs, of, n = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
         good = np.flatnonzero(n >= limit)
         good = good[np.argsort(-n[good], kind="stable")][:room]
@@ -131,7 +149,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, first: int, end: int = END) -> bytes:
     """A shard file."""
-    seq, ends, rules, lengths = compress(ids, np.cumsum(counts), first, end)
+    seq, ends, rules, lengths = compress(ids, np.cumsum(counts), first)
     wide = 2 if first + len(rules) <= 1 << 16 else 4
     head = np.array([len(doc_ids), len(ids), len(seq), len(rules), first, wide, end], "<u8")
     parts = [head, rules.astype("<u4"), lengths.astype("<u4"), np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.diff(ends, prepend=0).astype("<u8"), counts.astype("<u8"), seq.astype(f"<u{wide}")]
@@ -182,7 +200,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        encoder, stop = Encoder(path), array.array("I", [end]).tobytes()
+        encoder, stop = encoder_of(path), array.array("I", [end]).tobytes()
         first = max(max(t.id for t in encoder.model.tokenize(c)) for c in encoder.char) + 1
         doc_ids, data, size, top, rows = [], [], 0, 0, []
 

@@ -117,26 +117,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str | None, int]]) -> Model:
     """A model from (text, label) rows."""
-    rows = list(dict.fromkeys(rows))  # a copied text teaches once
-    ones = [plain_words(t) for t, y in rows if y == 1]
-    zeros = [plain_words(t) for t, y in rows if y == 0]
+    rows = [(t, y) for t, y in dict.fromkeys(rows) if y in (0, 1)]  # a copied text teaches once
+    ones, zeros = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
     if not ones or not zeros:
         return Model(b"", b"", [], float(bool(ones)))
-    seen = [Counter(w for ws in side for w in set(ws)) for side in (zeros, ones)]
-    favour = lambda w: (seen[1][w] + 0.5) / (len(ones) + 1) / ((seen[0][w] + 0.5) / (len(zeros) + 1))
+    # words are counted text by text and only those that toxic documents share, so that little stays in memory
+    toxic_in, plain_in = Counter(), Counter()
+    for t in ones:
+        toxic_in.update(set(plain_words(t)))
+    toxic_in = Counter({w: n for w, n in toxic_in.items() if n > 1})
+    for t in zeros:
+        plain_in.update(toxic_in.keys() & set(plain_words(t)))
+    favour = lambda w: (toxic_in[w] + 0.5) / (len(ones) + 1) / ((plain_in[w] + 0.5) / (len(zeros) + 1))
     least = max(3, SHARE * len(ones))
-    toxic = [b" " + w + b" " for ws in ones for w in sorted(set(ws)) if seen[1][w] >= least and favour(w) >= RATIO]
+    strong = {w for w, n in toxic_in.items() if n >= least and favour(w) >= RATIO}
+    toxic = [b" " + w + b" " for t in ones for w in sorted(strong & set(plain_words(t)))]
     draw = random.Random(1)
-    plain = [x for ws in zeros for x in windows(ws)]
-    common = [b" " + w + b" " for ws in zeros for w in sorted(set(ws)) if seen[0][w] >= 5 and favour(w) < 1.5]
     draw.shuffle(toxic)  # neighbours differ from document to document, so that segments are words and not sequences
-    base = _trained(draw.sample(plain, min(len(plain), 60_000)), BASE_BYTES)
+    few = lambda items, most: draw.sample(items, min(len(items), -(-most // len(zeros))))
+    plain, common = [], []
+    for t in zeros:
+        words = plain_words(t)
+        plain += few(windows(words), 60_000)
+        common += [b" " + w + b" " for w in few(sorted(w for w in set(words) if plain_in[w] >= 5 and favour(w) < 1.5), 100_000)]
+    base = _trained(plain, BASE_BYTES)
     own = _covering(toxic, CLASS_BYTES)
-    other = _trained(draw.sample(common, min(len(common), 100_000)), max(len(own), 64))
+    other = _trained(common, max(len(own), 64))
     model = Model(own + base, other + base, [])
-    order = [(t, y) for t, y in rows if y in (0, 1)]
-    x = model.features([t for t, _ in order])
-    model.weights = _logistic(x, np.array([float(y) for _, y in order])).tolist()
+    x = model.features([t for t, _ in rows])
+    model.weights = _logistic(x, np.array([float(y) for _, y in rows])).tolist()
     return model
 
 

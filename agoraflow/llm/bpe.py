@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from agoraflow.llm.pretokens import chunks
 from agoraflow.llm.shared import fresh_path, staged
 
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 300_000
+#: Distinct chunks whose words a task remembers.
+KNOWN_CHUNKS = 200_000
 #: Buckets of the literal map: a lookup walks through the few entries of one.
 BUCKETS = 8192
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -131,6 +133,8 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = BLOCK
             out: list[tuple[int, int | None, bytes]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out.append((block, doc_id, planes(b"".join(map(known.__getitem__, chunks(text or ""))))))
+                if len(known) > KNOWN_CHUNKS:
+                    known.clear()
                 if len(number) >= block_words:
                     yield from words()
                     number.clear()
@@ -138,6 +142,8 @@ def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = BLOCK
                     block += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.nulls(len(out), pa.int32()), pa.array([r[2] for r in out], pa.binary())], schema=schema)
         yield from words()
+        number.clear()
+        known.clear()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block long, doc_id long, bucket int, data binary")
 

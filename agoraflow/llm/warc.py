@@ -33,6 +33,8 @@ FILE_BYTES = 64 << 20
 READ_TASKS = 4096
 #: Bytes read at a time.
 BLOCK = 1 << 20
+#: Bytes within which the headers of a record are to end.
+HEAD = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
 ID = "<urn:page:%s:%d>"
@@ -152,7 +154,7 @@ def next_record(win: Window) -> Record:
     else:
         if not win.has(10) or not win.data.startswith(VERSIONS):
             raise ValueError("neither a member nor a version line")
-        while (end := win.data.find(b"\r\n\r\n")) < 0 and len(win.data) < BLOCK and win.more():
+        while (end := win.data.find(b"\r\n\r\n")) < 0 and len(win.data) < HEAD and win.more():
             pass
         length = next((line.partition(b":")[2].strip() for line in win.data[: max(end, 0)].split(b"\r\n") if line.lower().startswith(b"content-length:")), b"")
         if length.isdigit():

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -37,6 +38,7 @@ BLOCK = 1 << 20
 HEAD = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSIONS = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 ID = "<urn:page:%s:%d>"
 READ_SCHEMA = "path string, kind string, start long, stop long, reason string, record_type string, page_id long, refers_to long, payload_bytes long, payload_digest string, url string"
 
@@ -126,8 +128,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     headers = {}
     for line in head.split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
-        if not colon:
-            raise ValueError("a header has no colon")
+        if not colon or not _NAME.fullmatch(k.strip()):
+            raise ValueError("a header has no name")
         headers[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit():
         raise ValueError("no length")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm.shared import dropped, fresh_path, staged
+from agoraflow.llm.shared import dropped, freed, fresh_path, staged
 from agoraflow.llm.sidefiles import read_numbers, write_numbers
 
 WORDS, PERCENT = 5, 75
@@ -66,8 +66,8 @@ def needed(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
 
 
 def bit_count(n: int) -> int:
-    """Bits of the bitmap of a set: a power of two, four to eight for each shingle."""
-    return min(1 << 20, max(256, 1 << int(4 * n - 1).bit_length()))
+    """Bits of the bitmap of a set: a power of two, two to four for each shingle."""
+    return min(1 << 20, max(256, 1 << int(2 * n - 1).bit_length()))
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -219,25 +219,28 @@ def prefixes(sets: DataFrame, folder: str, sketch) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """(h, node, prior) of every shingle under which two or more nodes meet, prior being the node before, -1 for the first; rows come sorted by h, n and node."""
+    """(h, node, prior) of every shingle under which two or more nodes meet; rows come sorted by h, n and node.
+
+    prior is the node before, -1 if there is none or its size excludes a link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h = last_node = None
-        told = True
+        last_h, last_node, last_n, told = None, -1, 0, True
         for batch in batches:
-            h, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            h, node, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(h):
                 continue
             after = np.r_[h[0] == last_h, h[1:] == h[:-1]]
             keep = after | np.r_[after[1:], False]
-            prior = np.where(after, np.r_[last_node if after[0] else -1, node[:-1]], -1)
+            near = after & (100 * np.r_[last_n, n[:-1]].astype(np.int64) >= PERCENT * n.astype(np.int64))
+            prior = np.where(near, np.r_[last_node, node[:-1]], -1)
             out = [h[keep], node[keep], prior[keep]]
             if after[0] and not told:  # the row before this batch turns out to begin a group
                 out = [np.r_[x, y] for x, y in zip((last_h, last_node, -1), out, strict=True)]
-            last_h, last_node, told = int(h[-1]), int(node[-1]), bool(keep[-1])
+            last_h, last_node, last_n, told = int(h[-1]), int(node[-1]), int(n[-1]), bool(keep[-1])
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["h", "node", "prior"])
 
-    return rows.select("h", "node").mapInArrow(run, "h long, node long, prior long")
+    return rows.select("h", "node", "n").mapInArrow(run, "h long, node long, prior long")
 
 
 def signatures(sets: DataFrame, folder: str) -> DataFrame:
@@ -352,20 +355,26 @@ def link_documents(docs: DataFrame) -> DataFrame:
     met = prefixes(sets, named, sketch)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     meetings = staged(groups(met.repartition(parts, "h").sortWithinPartitions("h", "n", "node")), "meetings")
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing refers to any more
+    freed(spark)
     taken = fresh_path(spark, "active")
     write_numbers(meetings.select("node").distinct(), taken)
     active = staged(signatures(sets, taken), "active")
     dropped(spark, table)
     chain = meetings.where("prior >= 0").select(F.least("prior", "node").alias("a"), F.greatest("prior", "node").alias("b")).distinct()
-    first = staged(compared(compared(chain, active, "bits"), active, "own"), "chain-links")
+    near = staged(compared(chain, active, "bits"), "near")
+    freed(spark)
+    first = staged(compared(near, active, "own"), "chain-links")
+    freed(spark)
     label = components(first).withColumnRenamed("root", "to")  # contracts groups of copies before the trees
     labelled = meetings.select("h", "node").join(label, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
     labelled = staged(labelled, "labelled")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
     rest = labelled.join(mixed, "h").join(active.select("node", "n", "bits"), "node").select("h", "node", "n", "bits", "label")
     found = traversed(rest.repartition(parts, "h").sortWithinPartitions("h")).distinct()
+    found = staged(found, "tree-pairs")
+    freed(spark)
     second = staged(compared(found, active, "own"), "tree-links")
+    freed(spark)
     roots = components(first.unionByName(second))
     named_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named_nodes.groupBy("root").agg(F.min("least").alias("component_id"))

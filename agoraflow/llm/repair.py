@@ -136,15 +136,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    out = symbols.astype(np.uint32)
-    while len(out) and (big := out >= first).any():
-        begin = np.cumsum(np.r_[0, big[:-1] + 1])
-        wide = np.repeat(out, big + 1)
-        rule = rules[out[big] - first]
-        wide[begin[big]], wide[begin[big] + 1] = rule[:, 0], rule[:, 1]
-        out = wide
-    return out
+    """The ids that symbols stand for: what each nonterminal expands to is laid out once, then gathered for every symbol."""
+    if not len(rules):
+        return symbols.astype(np.uint32)
+    own: list[list[int]] = []
+    for a, b in rules.tolist():
+        own.append([*(own[a - first] if a >= first else (a,)), *(own[b - first] if b >= first else (b,))])
+    size = np.concatenate([np.ones(first, np.int64), np.array([len(x) for x in own], np.int64)])
+    flat = np.concatenate([np.arange(first, dtype=np.uint32), np.fromiter((i for x in own for i in x), np.uint32)])
+    start = np.cumsum(size) - size
+    count = size[symbols]
+    return flat[np.repeat(start[symbols] - np.cumsum(count) + count, count) + np.arange(count.sum())]
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, first: int, end: int = END) -> bytes:

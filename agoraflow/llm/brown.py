@@ -1,9 +1,12 @@
 """Language-model scoring by Brown class-based bigrams.
 
-Counts come from all training documents. A unit is a word with at least FREQUENT of all training tokens or, for the
-other words, the group of words that end alike, of which there are at most GROUPS; so the number of units is bounded
-whatever the corpus. Exchange clustering moves units between CLASSES classes while that raises the likelihood of the
-class bigrams. P(word | previous) = P(class | previous class) * P(word | class): transitions are smoothed with class
+Counts come from all training documents. Every word that occurs SINGLY times or more in them is a unit of its own;
+words seen once stand for those never seen and form a unit with the words that end alike, of which there are at most
+GROUPS. Exchange clustering moves units between CLASSES classes while that raises the likelihood of the class bigrams:
+first, on the driver, frequent words and groups of all others, which gives each word its first class; then all units,
+in rounds over buckets of the sparse word bigrams, until a sweep raises the likelihood by less than LEAST_GAIN nats a
+token. Within a round, units of a turn move at once by gains that are exact from HEAVY occurrences on and taken count by
+count below; moves that together do not raise the exact likelihood are undone and every fourth of them is tried. P(word | previous) = P(class | previous class) * P(word | class): transitions are smoothed with class
 frequencies, emissions by adding 0.5 with one unknown word for each class, so the model sums to one.
 
 Defined results: null and empty texts have one token, the end; a null id counts as the empty string in the fold and
@@ -13,22 +16,32 @@ probability is that of an unknown word among none; an empty table gives an empty
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agoraflow.llm.blocks import BLOCK_WORDS, read_table, split_blocks, write_tables
-from agoraflow.llm.shared import fresh_path, id_crc32, staged
+from agoraflow.llm.shared import freed, fresh_path, id_crc32, staged
 
 FREQUENT, GROUPS, CLASSES, PASSES = 5e-4, 1024, 64, 8
 #: Weight of class frequencies in smoothed transitions, in tokens.
 PRIOR = 20.0
 #: Rows of the unit-by-unit count matrix that travel together.
 STRIPE = 64
+SINGLY, HEAVY = 2, 64
+#: The exchange ends when a sweep over all units, in so many turns, gains no more, in nats a token.
+LEAST_GAIN, TURNS = 1e-3, 2
+#: Units whose exact gains are computed together.
+CHUNK = 64
+#: Training tokens for each bucket of bigrams: bounds the memory of a task.
+BUCKET_TOKENS = 2_000_000
 
 
 def ending_group(word: Column, groups: int = GROUPS) -> Column:
@@ -124,6 +137,238 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -
     return of
 
 
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of class bigrams, without what no move changes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class for each of some units by their bigrams with classes, all other units staying where they are."""
+    table, total, seen, place = table.astype(np.float64), after.sum(1), before.sum(1), np.arange(len(of))
+    r, l = after.copy(), before.copy()  # noqa: E741
+    r[place, of] -= own
+    l[place, of] -= own
+    mass_l, mass_r, f = table.sum(1), table.sum(0), _xlogx
+    more = lambda x: f(x + 1) - f(x)
+    t, d = table, more(table)
+    gain = r @ d.T + l @ d + own[:, None] * d.diagonal() - total[:, None] * more(mass_l) - seen[:, None] * more(mass_r)
+    less = lambda x: more(np.maximum(x, 0.0))
+    stay = (r * less(t[of] - r)).sum(1) + (l * less(t.T[of] - l)).sum(1) + own * less(t[of, of] - r[place, of] - l[place, of] - own)
+    gain[place, of] = stay - total * less(mass_l[of] - total) - seen * less(mass_r[of] - seen)
+    heavy = np.flatnonzero(total + seen >= 2 * HEAVY)
+    for i in range(0, len(heavy), CHUNK):
+        u = heavy[i : i + CHUNK]
+        k, a, ru, lu, ou = np.arange(len(u)), of[u], r[u], l[u], own[u]
+        t = np.repeat(table[None], len(u), 0)
+        t[k, a] -= ru
+        t[k, :, a] -= lu
+        t[k, a, a] -= ou
+        ml, mr = np.repeat(mass_l[None], len(u), 0), np.repeat(mass_r[None], len(u), 0)
+        ml[k, a] -= total[u]
+        mr[k, a] -= seen[u]
+        old, diagonal = f(t), t.diagonal(0, 1, 2)
+        rows, cols = f(t + ru[:, None, :]) - old, f(t + lu[:, :, None]) - old
+        g = rows.sum(2) - rows.diagonal(0, 1, 2) + cols.sum(1) - cols.diagonal(0, 1, 2) + f(diagonal + ru + lu + ou[:, None]) - f(diagonal)
+        gain[u] = g - f(ml + total[u][:, None]) + f(ml) - f(mr + seen[u][:, None]) + f(mr)
+    best = gain.argmax(1)
+    return np.where(gain[place, best] > gain[place, of] + 1e-9, best, of)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return pa.compress(b"".join(x.astype("<u4").tobytes() for x in columns), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    """Three rows: left and right units and how often they meet."""
+    return np.frombuffer(pa.decompress(data, 12 * size, "zstd", asbytes=True), "<u4").reshape(3, -1) if size else np.zeros((3, 0), "<u4")
+
+
+def _merged(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = left.astype(np.uint64) << np.uint64(32) | right
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n[order].astype(np.int64), first) if len(key) else n
+    return (key[first] >> np.uint64(32)).astype(np.uint32), key[first].astype(np.uint32), n
+
+
+class Pairs:
+    """Word bigrams in a file for each bucket of left units, in sections by bucket of right units: a unit's bigrams with
+    those after it are a file, with those before it a section of every file. A unit's bucket is its number mod buckets."""
+
+    def __init__(self, docs: DataFrame, tables: str, folder: str, buckets: int):
+        self.folder, self.buckets, self.spark = folder, buckets, docs.sparkSession
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, unit, held = None, None, []
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                if held:
+                    key, n = np.unique(np.concatenate(held), return_counts=True)
+                    held.clear()
+                    left, right = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
+                    bucket = (left % np.uint64(buckets)).astype(np.int64)
+                    order, cut = np.argsort(bucket, kind="stable"), np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+                    some = [b for b in range(buckets) if cut[b + 1] > cut[b]]
+                    parts = [order[cut[b] : cut[b + 1]] for b in some]
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "size": pa.array([len(x) for x in parts], pa.int32()), "data": pa.array([_packed(left[x], right[x], n[x]) for x in parts], pa.binary())})
+
+            for batch in batches:
+                for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if block != at:
+                        yield from flush()
+                        at, unit = block, read_table(tables, block)["id"].to_numpy().astype(np.uint64)
+                    own = unit[np.frombuffer(words, np.uint32)]
+                    held.append(np.concatenate([own[-1:], own[:-1]]) << np.uint64(32) | own)
+            yield from flush()
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            at, held, done = None, [], []
+
+            def close() -> None:
+                if at is None:
+                    return
+                left, right, n = _merged(*np.concatenate([_unpacked(d, s) for d, s in held], 1)) if held else np.zeros((3, 0), np.int64)
+                held.clear()
+                to = right.astype(np.int64) % buckets
+                order, sizes = np.argsort(to, kind="stable"), np.bincount(to, minlength=buckets)
+                cut = np.r_[0, np.cumsum(sizes)]
+                parts = [order[cut[b] : cut[b + 1]] for b in range(buckets)]
+                data = [_packed(left[x], right[x], n[x]) if len(x) else b"" for x in parts]
+                own = f"{root}/{at}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(own, compression=None) as out:
+                    out.write(np.array([sizes, [len(x) for x in data]], "<i8").tobytes() + b"".join(data))
+                store.move(own, f"{root}/{at}.pairs")
+                done.append(at)
+
+            for batch in batches:
+                for bucket, size, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if bucket != at:
+                        close()
+                        at = bucket
+                    if size:
+                        held.append((data, size))
+            close()
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(done, pa.int32())})
+
+        parts = docs.where("flag").select("block", "words").mapInArrow(count, "bucket int, size int, data binary")
+        every = self.spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("size"), F.lit(None).cast("binary").alias("data"))
+        staged(parts.unionByName(every).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write, "bucket int"), "lm-pairs")
+        freed(self.spark)
+
+    @staticmethod
+    def read(store: fs.FileSystem, root: str, buckets: int, bucket: int, section: int | None = None) -> list[np.ndarray]:
+        with store.open_input_file(f"{root}/{bucket}.pairs") as raw:
+            sizes, lengths = np.frombuffer(raw.read(16 * buckets), "<i8").reshape(2, -1)
+            if section is not None:
+                raw.seek(int(16 * buckets + lengths[:section].sum()))
+                return [_unpacked(raw.read(int(lengths[section])), int(sizes[section]))]
+            return [_unpacked(raw.read(int(m)), int(s)) for s, m in zip(sizes, lengths, strict=True)]
+
+    def _each(self, work, kind: str) -> DataFrame:
+        """work(store, root, bucket) for every bucket, whose rows come back."""
+        folder = self.folder
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, root = fs.FileSystem.from_uri(folder)
+            for batch in batches:
+                for bucket in batch.column(0).to_pylist():
+                    yield work(store, root, bucket)
+
+        return self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(run, kind)
+
+    def table(self, path: str, classes: int) -> np.ndarray:
+        """Class bigrams, with the classes of units in a file."""
+        buckets = self.buckets
+
+        def work(store, root, bucket):
+            of, out = read_classes(path), np.zeros(classes * classes)
+            for left, right, n in Pairs.read(store, root, buckets, bucket):
+                out += np.bincount(of[left].astype(np.int64) * classes + of[right], n, classes * classes)
+            return pa.RecordBatch.from_pydict({"data": [out.tobytes()]})
+
+        total = np.zeros(classes * classes)
+        for row in self._each(work, "data binary").toLocalIterator():  # a table of classes for each bucket
+            total += np.frombuffer(row["data"])
+        return total.reshape(classes, classes)
+
+    def moved(self, path: str, table: np.ndarray, turns: int, turn: int) -> list:
+        """Which units of a turn move, and to which class: packed numbers of units and of classes."""
+        buckets, classes = self.buckets, len(table)
+
+        def work(store, root, bucket):
+            of = read_classes(path)
+            units = np.arange(bucket, len(of), buckets)
+            mine = (units // buckets % turns == turn) & (of[units] < classes)
+            number = np.full(len(units), -1, np.int64)
+            number[mine] = np.arange(mine.sum())
+            units = units[mine]
+            after, before, own = np.zeros(len(units) * classes), np.zeros(len(units) * classes), np.zeros(len(units))
+            for left, right, n in Pairs.read(store, root, buckets, bucket):
+                at = number[left // buckets]
+                keep = at >= 0
+                np.add.at(after, at[keep] * classes + of[right[keep]], n[keep])
+                same = keep & (left == right)
+                np.add.at(own, at[same], n[same])
+            for other in range(buckets):
+                for left, right, n in Pairs.read(store, root, buckets, other, bucket):
+                    at = number[right // buckets]
+                    keep = at >= 0
+                    np.add.at(before, at[keep] * classes + of[left[keep]], n[keep])
+            old = of[units].astype(np.int64)
+            to = best_classes(after.reshape(-1, classes), before.reshape(-1, classes), own, old, table)
+            some = to != old
+            return pa.RecordBatch.from_pydict({"unit": [units[some].astype("<u4").tobytes()], "class": [to[some].astype("<u2").tobytes()]})
+
+        return self._each(work, "unit binary, class binary").collect()  # six bytes for each unit that moves
+
+
+def write_classes(folder: str, of: np.ndarray) -> str:
+    """The class of each unit, two bytes each, as a file that tasks read; returns its path."""
+    store, root = fs.FileSystem.from_uri(folder)
+    name = f"{uuid.uuid4().hex}.classes"
+    with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+        out.write(of.astype("<u2").tobytes())
+    return f"{folder}/{name}"
+
+
+def read_classes(path: str) -> np.ndarray:
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(place, compression=None) as raw:
+        return np.frombuffer(raw.read(), "<u2")
+
+
+def exchange_all(pairs: Pairs, of: np.ndarray, classes: int, tokens: int) -> tuple[np.ndarray, np.ndarray, str]:
+    """Exchange of all units from first classes on: classes, the table of class bigrams and the classes' file."""
+    spread = np.where(of < classes, np.random.default_rng(1).integers(classes, size=len(of)), of)
+    starts = [(s, p, pairs.table(p, classes)) for s in (of, spread.astype(of.dtype)) for p in [write_classes(pairs.folder, s)]]
+    of, path, table = max(starts, key=lambda x: likelihood(x[2]))  # endings that tell nothing are no start
+    gained = np.inf
+    while gained > LEAST_GAIN * tokens:
+        gained = 0.0
+        for turn in range(TURNS):
+            rows = pairs.moved(path, table, TURNS, turn)
+            unit, to = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("unit", "<u4"), ("class", "<u2")))
+            every = 1
+            while every <= len(unit):
+                then = of.copy()
+                then[unit[::every]] = to[::every]
+                there = write_classes(pairs.folder, then)
+                counts = pairs.table(there, classes)
+                gain = likelihood(counts) - likelihood(table)
+                if gain > 0:
+                    of, path, table, gained = then, there, counts, gained + gain
+                    break
+                every *= 4  # too many moved at once
+    return of, table, path
+
+
 def score_documents(docs: DataFrame, frequent: float = FREQUENT, groups: int = GROUPS, classes: int = CLASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs has doc_id, text and flag (true: train on it). Returns doc_id, flag, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
@@ -136,39 +381,52 @@ def score_documents(docs: DataFrame, frequent: float = FREQUENT, groups: int = G
     unit = {w: groups + i for i, w in enumerate(top)}
     units = groups + len(top)
     known = spark.createDataFrame(list(unit.items()), "word string, own int")
-    # the end and frequent words have units of their own; that table has a fixed bound
-    with_unit = lambda df: df.join(F.broadcast(known), "word", "left").withColumn("unit", F.coalesce("own", ending_group(F.col("word"), groups))).drop("own")
+    # the end and frequent words have units of their own in the first exchange; that table has a fixed bound
+    group = ending_group(F.col("word"), groups)
     folder = fresh_path(spark, "lm-tables")
     blocks = split.select("block").distinct().count()
-    tables = with_unit(listed.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0))))
-    write_tables(tables, ["c", "unit"], folder, blocks)
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop shuffle files that nothing refers to any more
-    per_unit = with_unit(counts).groupBy("unit").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # a row for each unit
+    buckets = max(1, min(-(-n // BUCKET_TOKENS), 4096))
+    base = -(-groups // buckets) * buckets
+    apart = counts.where((F.col("c") >= SINGLY) | (F.col("word") == "")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    apart = apart.withColumn("id", F.lit(base) + F.col("bucket") + F.lit(buckets) * (F.row_number().over(W.partitionBy("bucket").orderBy("word")) - 1)).drop("bucket")
+    rare = counts.where((F.col("c") < SINGLY) & (F.col("word") != "")).withColumn("id", group.cast("long"))
+    known_too = apart.unionByName(rare).join(F.broadcast(known), "word", "left").withColumn("unit", F.coalesce("own", group)).drop("own")
+    numbered = staged(known_too, "lm-numbers")
+    tables = listed.join(numbered, "word", "left").withColumns({"c": F.coalesce("c", F.lit(0)), "unit": F.coalesce("unit", group), "id": F.coalesce("id", group.cast("long")).cast("int")})
+    write_tables(tables, ["c", "unit", "id"], folder, blocks)
+    freed(spark)  # lets Spark drop shuffle files that nothing refers to any more
     docs_of = split.where("words IS NOT NULL")
-    bigrams = bigram_counts(docs_of, folder, units)
-    of = exchange(bigrams, classes)
-    mass, types = np.zeros(classes), np.zeros(classes)
-    for r in per_unit:
-        mass[of[r["unit"]]] += r["c"]
-        types[of[r["unit"]]] += r["v"]
-    member = np.zeros((units, classes))
-    member[np.arange(units), of] = 1
-    table = member.T @ bigrams @ member
+    first = exchange(bigram_counts(docs_of, folder, units), classes)
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"unit": [batch.column(0).to_numpy().astype("<u4").tobytes()], "class": [first[batch.column(1).to_numpy()].astype("<u2").tobytes()]})
+
+    last = numbered.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    of = np.full(max(base, last + 1), classes, np.uint16)  # two bytes for each unit; numbers without a unit have no class
+    of[:groups] = first[:groups]
+    for row in numbered.where(F.col("id") >= base).select("id", "unit").mapInArrow(begun, "unit binary, class binary").toLocalIterator():
+        of[np.frombuffer(row["unit"], "<u4")] = np.frombuffer(row["class"], "<u2")
+    per_group = numbered.where(F.col("id") < base).groupBy("id").agg(F.count(F.lit(1)).alias("v")).collect()  # a row for each group
+    of, table, path = exchange_all(Pairs(docs_of, folder, fresh_path(spark, "lm-bigrams"), buckets), of, classes, n)
+    mass, types = table.sum(1), np.bincount(of[base:], minlength=classes + 1)[:classes].astype(np.float64)
+    for r in per_group:
+        types[of[r["id"]]] += r["v"]
     share = (mass + 0.5) / (mass.sum() + 0.5 * classes)
     step = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
     emit = np.log10(mass + 0.5 * (types + 1))
-    model = spark.sparkContext.broadcast((of.astype(np.int16), step, emit))  # sizes fixed by the parameters
+    model = spark.sparkContext.broadcast((step, emit))  # sizes fixed by the parameters
     norm = float(np.log10(n + 0.5 * (v + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, step, emit = model.value
+        (step, emit), of = model.value, read_classes(path)
         at = c = cls = log_c = None
         for batch in batches:
             out = []
             for block, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if block != at:
                     held, at = read_table(folder, block), block
-                    c, cls = held["c"].to_numpy(), of[held["unit"].to_numpy()].astype(np.int64)
+                    c, cls = held["c"].to_numpy(), of[held["id"].to_numpy()].astype(np.int64)
                     log_c = np.log10(c + 0.5)
                 own = np.frombuffer(words, np.uint32)
                 k = cls[own]

@@ -73,6 +73,30 @@ def test_brown_exchange_finds_classes_and_raises_likelihood():
     assert likelihood(of) > likelihood(np.arange(units) % 4) + 1000
 
 
+def test_brown_classes_words_that_are_rare_and_end_alike(spark):
+    rnd = random.Random(11)
+    kinds = [[f"{k}{i:03}zz" for i in range(300)] for k in "ab"]  # each far below the frequent words' share, all of one ending
+    texts = [" ".join(rnd.choice(kinds[i % 2]) for i in range(start, start + 60)) for start in (rnd.randrange(2) for _ in range(300))]
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, flag boolean")
+    out = brown.score_documents(docs, frequent=0.01, groups=16, classes=4, block_words=400).collect()
+    # the kind of a word tells the kind of the next, so half of its words: log10(2) a word
+    assert sum(r.score - r.base_score for r in out) > 0.2 * sum(r.n_tokens for r in out)
+
+
+def test_brown_best_classes_agree_with_the_likelihood():
+    rnd, classes, units = np.random.default_rng(5), 4, 30
+    counts = rnd.poisson(8, (units, units)) * rnd.integers(0, 2, (units, units))
+    of = rnd.integers(0, classes, units)
+    member = np.eye(classes)[of]
+    got = brown.best_classes(counts @ member, (member.T @ counts).T, counts.diagonal().astype(float), of, member.T @ counts @ member)
+    for u in range(units):
+        def score(c, u=u):
+            m = np.eye(classes)[np.where(np.arange(units) == u, c, of)]
+            return brown.likelihood(m.T @ counts @ m)
+
+        assert score(got[u]) >= max(map(score, range(classes))) - 1e-6
+
+
 def test_brown_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, flag boolean")
     assert brown.score_documents(docs).count() == 0

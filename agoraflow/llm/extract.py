@@ -36,6 +36,10 @@ LEAVES_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus discussion respond replies reply "
     "pagination pager copyright legal toolbar search skip outbrain taboola".split()
 )
+#: What names other parts, unless they hold the text of the page.
+REMARKS = frozenset("comment comments commentlist disqus replies respond".split())
+#: A class or id with one of these parts tells the state of an element, not what it is.
+STATES = frozenset("no not without has with is open opened closed enabled disabled on off active inactive allowed".split())
 LEAVES_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar toolbar".split())
 _TAG = re.compile(r"""<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?<![^\s"'])(hidden)(?![^\s/>])""")
@@ -105,39 +109,50 @@ class Page:
     def leaving(self) -> list[bool]:
         """Which nodes are taken out, with all below them."""
         n = len(self.tag)
-        holds, inside = [False] * n, [False] * n
+        holds, inside, size, marks = [False] * n, [False] * n, [0] * n, [0] * n
+        for node, text in self.items:
+            size[node] += len("".join(text.split())) if text else 0
         for i in range(n - 1, 0, -1):  # children come after their parents
-            holds[self.parent[i]] |= holds[i] or self.tag[i] in ("article", "main", "h1")
+            own = self.tag[i] in ("article", "main", "h1") and not REMARKS & self._named(i)
+            marks[i] += own and self.tag[i] != "h1"
+            holds[self.parent[i]] |= holds[i] or own
+            size[self.parent[i]] += size[i]
+            marks[self.parent[i]] += marks[i]
+        # where no article or main is named outside of it, an element with most of the text is the page's own
+        rich = [2 * size[i] > size[0] and marks[i] == marks[0] for i in range(n)]
         out = [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
             inside[i] = inside[p] or tag in ("article", "main")
-            out[i] = out[p] or tag in RAW or self._leaves(i, tag, inside[i], holds[i])
+            out[i] = out[p] or tag in RAW or self._leaves(i, tag, inside[i], holds[i], rich[i])
         return out
 
-    def _leaves(self, i: int, tag: str, inside: bool, holds: bool) -> bool:
+    def _named(self, i: int) -> set[str]:
+        """The words of an element's class and id."""
+        values = [v.strip("\"'") for k, v, _ in _ATTR.findall(self.attrs[i]) if k.lower() in ("class", "id")]
+        parts = [[x.lower() for x in _PART.findall(name)] for v in values for name in v.split()]
+        return {x for words in parts if len(words) == 1 or not STATES.intersection(words) for x in words}
+
+    def _leaves(self, i: int, tag: str, inside: bool, holds: bool, rich: bool) -> bool:
         if tag in ("nav", "footer", "aside", "head", "dialog") or (tag == "header" and not inside):
             return True
         if tag in LEAVES_TAGS and not holds:
             return True
         if not self.attrs[i] or tag in ("html", "body", "main"):
             return False
-        named, role = [], ""
+        role = ""
         for k, v, hidden in _ATTR.findall(self.attrs[i]):
             k, v = k.lower(), v.strip("\"'")
             if hidden or (k == "hidden") or (k == "aria-hidden" and v == "true") or (k == "style" and _NONE_SHOWN.search(v)):
                 return True
-            if k in ("class", "id"):
-                named += [x.lower() for x in _PART.findall(v)]
-            elif k == "role":
+            if k == "role":
                 role = v.lower()
         if role in LEAVES_ROLES:
             return not holds
-        words = LEAVES_WORDS.intersection(named)
-        if not words:
+        words = LEAVES_WORDS & self._named(i)
+        if not words or holds or rich:
             return False
-        remarks = words & {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
-        return bool(remarks) or (not holds and tag != "article")
+        return bool(words & REMARKS) or tag != "article"
 
     def marked(self, gone: list[bool], texts: list[str | None]) -> list[bool]:
         """Which nodes are content by composite text density."""

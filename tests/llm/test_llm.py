@@ -116,6 +116,16 @@ def test_extract_cases():
     assert extract.extract(long) == " ".join(["words and words"] * 5000)
 
 
+def test_extract_keeps_what_class_words_only_touch():
+    text = "A long paragraph of main text that goes on and on, with enough words in it to be the text of the page."
+    body = f"<p>{text}</p><p>{text}</p>"
+    want = f"{text} {text}"
+    for page in (f"<article class='post comments-open'>{body}</article>", f"<div class='wrap comments-open'><article>{body}</article></div>", f"<div class='container no-sidebar'>{body}</div>", f"<div class='share-enabled'>{body}</div>", f"<div id=comments-wrap><main>{body}</main></div>", f"<div class=sidebar-layout>{body}</div>"):
+        assert extract.extract(f"<body>{page}</body>") == want, page
+    remarks = f"<div class=comments><article class=comment-body>{body * 3}</article></div>"
+    assert extract.extract(f"<body><article>{body}</article>{remarks}</body>") == want
+
+
 def test_extract_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (None, None, None), (1, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(map(str, extract.extract_pages(pages).collect())) == sorted(map(str, [(r := f"Row(page_id=1, url='u', text='a', n_chars=1)"), r, "Row(page_id=None, url=None, text='', n_chars=0)"]))

@@ -21,8 +21,8 @@ from agoraflow.llm.shared import staged
 MASKS = ["1101100111", "1110110101"]
 SPAN = 10
 MISMATCH = -1.5
-#: A leak has so many agreeing words, or this share of the item and LEAST_WORDS.
-LONG_WORDS, SHARE, LEAST_WORDS = 30, 0.5, 9
+#: A leak has SPAN agreeing words in a run, or this share of the item and LEAST_WORDS.
+SHARE, LEAST_WORDS = 0.5, 9
 #: Rows up to which a side is broadcast; beyond, both sides are shuffled by key.
 BROADCAST_SEEDS, BROADCAST_HITS = 1_000_000, 100_000
 
@@ -78,7 +78,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = found.select("_d_key", "_d_id", "item_id", "k", "n", "shift", best_run(F.col("w"), F.col("item"), F.col("shift")).alias("m")).distinct()
     total = runs.groupBy("_d_key", F.col("_d_id").alias("doc_id"), "item_id", "k", F.col("n").alias("item_words")).agg(F.max("m").alias("longest"), F.sum("m").alias("m"))
     total = total.withColumn("matched_words", F.least(F.col("m"), F.col("item_words")).cast("int"))
-    leak = (F.col("longest") >= LONG_WORDS) | ((F.col("longest") >= LEAST_WORDS) & (F.col("matched_words") >= SHARE * F.col("item_words")))
+    leak = (F.col("longest") >= SPAN) | ((F.col("longest") >= LEAST_WORDS) & (F.col("matched_words") >= SHARE * F.col("item_words")))
     return total.where(leak).select("_d_key", "doc_id", "item_id", "matched_words", "item_words")
 
 

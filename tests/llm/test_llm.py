@@ -382,6 +382,15 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(documents(spark, []), bench).count() == decontaminate.leaks(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_short_quotes_of_long_items(spark):
+    rnd = random.Random(10)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    item = [word() for _ in range(80)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    rows = [(n, " ".join([word() for _ in range(30)] + item[20 : 20 + n] + [word() for _ in range(30)])) for n in (6, 8, 10, 13, 25, 29, 30)]
+    assert sorted((r.doc_id, r.matched_words) for r in decontaminate.leaks(documents(spark, rows), bench).collect()) == [(n, n) for n in (10, 13, 25, 29, 30)]
+
+
 # ---- 10
 
 

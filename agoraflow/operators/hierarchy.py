@@ -11,7 +11,7 @@ def reply_tree(rows: DataFrame, node: str, parent: str, scope: list[str], order:
     """rows that a root reaches, with depth, path, has_children and position in pre-order within their scope.
 
     A parent that is not in the same scope makes its child a root. Rows in cycles are reached by no root and vanish.
-    Levels are joined one after the other, so a level costs one join whatever its width; siblings are in `order`.
+    Replies deeper than max_depth raise an error. Levels are joined one after the other, so a level costs one join whatever its width; siblings are in `order`.
     """
     keys = [*scope]
     place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
@@ -29,6 +29,9 @@ def reply_tree(rows: DataFrame, node: str, parent: str, scope: list[str], order:
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        if not linked.join(level.select(*keys, F.col(node).alias("_up")), [*keys, "_up"], "left_semi").isEmpty():
+            raise ValueError(f"replies go deeper than max_depth={max_depth}")
     children = linked.where(F.col("_up").isNotNull()).select(*keys, F.col("_up").alias(node)).distinct().withColumn("has_children", F.lit(True))
     out = out.join(children, [*keys, node], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
     return out.withColumn("position", F.row_number().over(W.partitionBy(*keys).orderBy("path"))).drop("_place", "_up")
@@ -55,16 +58,19 @@ def closing_tags(tree: DataFrame, scope: list[str]) -> DataFrame:
 def closure(edges: DataFrame, nodes: DataFrame, node: str = "node", max_depth: int = 1000) -> DataFrame:
     """(ancestor, descendant, depth) with a row of depth 0 for each node; edges have parent and child.
 
-    Paths double in length with every round, so the rounds are the logarithm of the depth.
+    Paths double in length with every round, so the rounds are the logarithm of the depth; they end when no pair is new, and
+    raise an error where pairs are left beyond max_depth.
     """
     known = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"))
     reach = 1
-    while reach < max_depth:
+    while True:
         a, b = known.alias("a"), known.alias("b")
         longer = a.join(b, F.col("a.descendant") == F.col("b.ancestor")).select("a.ancestor", "b.descendant", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         grown = known.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")).checkpoint()
         if grown.count() == known.count():
             break
+        if reach >= max_depth:
+            raise ValueError(f"paths are longer than max_depth={max_depth}")
         known, reach = grown, 2 * reach
     own = nodes.select(F.col(node).alias("ancestor"), F.col(node).alias("descendant"), F.lit(0).alias("depth"))
     return own.unionByName(known)

@@ -77,6 +77,20 @@ def test_lookups(spark):
     assert lookup.as_map(df.where("name IS NOT NULL"), "name", "code").first().entries == {"Ann": None, "bob": "x%"}
 
 
+def test_deep_trees_are_whole_or_refused(spark):
+    rows = spark.createDataFrame([(1, i, i - 1 if i else None) for i in range(5)], "s int, id int, up int")
+    assert hierarchy.reply_tree(rows, "id", "up", ["s"], ["id"], max_depth=4).count() == 5
+    with pytest.raises(ValueError, match="max_depth"):
+        hierarchy.reply_tree(rows, "id", "up", ["s"], ["id"], max_depth=3)
+
+
+def test_closure_is_whole_or_refused(spark):
+    edges, nodes = spark.createDataFrame([(i, i + 1) for i in range(4)], "parent int, child int"), spark.createDataFrame([(i,) for i in range(5)], "node int")
+    assert hierarchy.closure(edges, nodes, max_depth=4).count() == 15
+    with pytest.raises(ValueError, match="max_depth"):
+        hierarchy.closure(edges, nodes, max_depth=2)
+
+
 def test_policies(spark):
     m = lambda p, v: one(spark, policy.pattern_matches(F.lit(p), F.lit(v)))
     assert m("*", "x") and m("a.*", "a.b") and not m("a.*", "ab.c") and m("a.b", "a.b") and not m("a.b", "a")

@@ -1,43 +1,41 @@
 """Byte-level BPE over the distinct words of a corpus, and decoding.
 
-A first pass splits documents into words (matches of the split pattern) and writes, block by block, the block's
-distinct words, by hash into buckets, and each document as numbers of words. Buckets meet, and every distinct word of the
-corpus is encoded once: higher-order functions fold the ranked merges over its bytes, with ranks from a literal map. The
-encodings return to the blocks as one file each, and documents are put together from them. Decoding concatenates the pieces of the ids.
+A word is a match of the split pattern. A first pass splits documents and writes, block by block, the block's distinct
+words, packed by hash into buckets, and each document as numbers of words. Buckets meet, and every distinct word of the
+corpus is encoded once: higher-order functions fold the ranked merges over its byte array, with ranks from a literal map
+of pairs of ids. The encodings return to the blocks as one file each, and documents are put together from them.
+Decoding concatenates the binary pieces of the ids.
 
 A block ends at BLOCK_WORDS distinct words, so neither a task nor a file grows with the corpus. What is shuffled are the
-distinct words of blocks and their ids, many to a row; buckets are four for each shuffle partition.
+distinct words of blocks and their ids, many to a row; a word of very many blocks comes in several rows, each folded.
 
-Defined results: null and empty texts have no ids; a null id stays; repeated rows are encoded alike; very long texts
-are split over no blocks (a block ends between documents); an empty table gives an empty result; other columns are not read.
+Defined results: null and empty texts have no ids; a null id stays; repeated rows are encoded alike; a very long text is
+split in parts; a very long word takes time with the square of its length; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
 
-import array
 import base64
 import json
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm.pretokens import chunks
-from agoraflow.llm.shared import fresh_path, staged
+from agoraflow.llm import pieces
+from agoraflow.llm.shared import dropped, freed, fresh_path, open_file, staged, trimmed, whole_file
 
-BLOCK_WORDS = 300_000
-#: Distinct chunks whose words a task remembers.
-KNOWN_CHUNKS = 200_000
+BLOCK_WORDS = 250_000
 #: Buckets of the literal map: a lookup walks through the few entries of one.
-BUCKETS = 8192
+BUCKETS = 1 << 16
+#: Texts, and words, in a batch that passes to Spark; blocks in a row of a word.
+ROWS, WORDS, PLACES = 256, 5_000, 10_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -47,13 +45,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: an array of maps from hexadecimal bytes to ranks, folded to a constant by the optimizer."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def pair_map(ranks: dict[bytes, int]) -> Column:
+    """The literal: maps from a pair of ids, the left times 2^17 plus the right, to the id of both together, in an array by remainder."""
+    buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        key = token.hex().upper()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                key = (a << 17) + b
+                buckets[(a ^ b) % BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>")
 
 
 def _let(value: Column, body) -> Column:
@@ -61,25 +62,35 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_word(word: Column, ranks: Column) -> Column:
-    """The ids of a word as array<int>: the pair of least rank, leftmost first, is merged until no pair has a rank."""
+def encoded_word(word: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids as array<int> of a word given as array<int> of its bytes: the pair of least rank, leftmost first, is merged
+    until no pair has a rank. The state is the ids, the ranks of neighbours and the least of these."""
+    single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
+    none = F.array().cast("array<int>")
 
-    def rank(piece: Column) -> Column:
-        return F.element_at(F.get(ranks, F.pmod(F.crc32(piece.cast("binary")), F.lit(BUCKETS)).cast("int")), piece)
+    def fold(pairs: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            key = F.shiftleft(a.cast("long"), 17) + b
+            return F.element_at(F.get(pairs, a.bitwiseXOR(b).bitwiseAND(F.lit(BUCKETS - 1))), key)
 
-    def merged(p: Column, i: Column) -> Column:
-        pair = F.array(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))
-        return F.concat(F.slice(p, 1, i - 1), pair, F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0))))
+        def state(p: Column, r: Column) -> Column:
+            return F.struct(p.alias("p"), r.alias("r"), F.array_min(r).alias("m"))
 
-    def step(p: Column) -> Column:
-        pairs = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: rank(F.concat(a, b)))
-        best = lambda r: F.when(F.array_min(r).isNull(), p).otherwise(_let(F.array_position(r, F.array_min(r)).cast("int"), lambda i: merged(p, i)))
-        return F.when(F.size(p) < 2, p).otherwise(_let(pairs, best))
+        def merged(s: Column, i: Column) -> Column:
+            p, r, m = s["p"], s["r"], s["m"]
+            left = F.when(i > 1, F.concat(F.slice(r, 1, i - 2), F.array(rank(F.get(p, i - 2), m)))).otherwise(none)
+            right = F.when(i < F.size(r), F.concat(F.array(rank(m, F.get(p, i + 1))), F.slice(r, i + 2, F.size(r)))).otherwise(none)
+            ids = F.concat(F.slice(p, 1, i - 1), F.array(m), F.slice(p, i + 2, F.size(p)))
+            return _let(F.concat(left, right), lambda x: state(ids, x))
 
-    whole = F.hex(word.cast("binary"))
-    single = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(single) - 1, F.lit(1))), single, lambda p, _: step(p))
-    return _let(rank(whole), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(F.transform(folded, rank)))
+        def step(s: Column) -> Column:
+            return F.when(s["m"].isNull(), s).otherwise(_let(F.array_position(s["r"], s["m"]).cast("int"), lambda i: merged(s, i)))
+
+        ids = F.transform(word, lambda b: F.get(single, b))
+        begun = _let(ids, lambda p: state(p, F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), rank)))
+        return F.when(F.size(word) < 2, ids).otherwise(F.aggregate(F.slice(word, 2, F.size(word)), begun, lambda s, _: step(s), lambda s: s["p"]))
+
+    return _let(pair_map(ranks), fold)
 
 
 def planes(numbers: bytes) -> bytes:
@@ -87,8 +98,8 @@ def planes(numbers: bytes) -> bytes:
     return np.frombuffer(numbers, np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def from_planes(data: bytes) -> bytes:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.tobytes()
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def packed(*columns: np.ndarray, data: bytes = b"") -> bytes:
@@ -96,127 +107,136 @@ def packed(*columns: np.ndarray, data: bytes = b"") -> bytes:
     return b"".join([np.uint32(len(columns[0])).tobytes(), *(planes(c.astype(np.uint32).tobytes()) for c in columns), data])
 
 
-def unpacked(data: bytes, columns: int) -> list[np.ndarray | bytes]:
+def unpacked(data: bytes, columns: int) -> list:
     n = int(np.frombuffer(data, np.uint32, 1)[0])
-    out: list = [np.frombuffer(from_planes(data[4 + 4 * n * i : 4 + 4 * n * (i + 1)]), np.uint32) for i in range(columns)]
-    return [*out, data[4 + 4 * n * columns :]]
+    return [*(from_planes(data[4 + 4 * n * i : 4 + 4 * n * (i + 1)]) for i in range(columns)), data[4 + 4 * n * columns :]]
 
 
-def blocks(docs: DataFrame, pattern: str, buckets: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (block, bucket, data) with the distinct words of a block that fall into a bucket by hash, and rows (block, doc_id, data) for each document."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `source` that begin at `start`, one after the other."""
+    end = np.cumsum(size)
+    return source[np.repeat(start - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        number: dict[str, int] = {}
 
-        class Known(dict):  # chunk -> numbers of its words
-            def __missing__(self, chunk: str) -> bytes:
-                self[chunk] = out = array.array("I", [number.setdefault(w, len(number)) for w in find(chunk)]).tobytes()
-                return out
+def blocks(docs: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (block, bucket, data) with the distinct words of a block that fall into a bucket by hash, and rows (block, doc_id, data) with the numbers of each document's words."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: dict[str, int] = {}
         # blocks of a task count up from its number: unique, as the table keeps one attempt of each task
-        known, block = Known(), TaskContext.get().partitionId() << 20
+        block = TaskContext.get().partitionId() << 20
 
         def words() -> Iterator[pa.RecordBatch]:
             held = [w.encode() for w in number]
-            bucket = np.array([zlib.crc32(w) % buckets for w in held], np.int64)
+            number.clear()
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in held), np.int64, len(held))
             order = np.argsort(bucket, kind="stable")
-            rows = []
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
                 part = [held[i] for i in own.tolist()]
-                rows.append((int(bucket[own[0]]), packed(own, np.array([len(w) for w in part]), data=b"".join(part))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=schema)
+                row = packed(own, np.array([len(w) for w in part]), data=b"".join(part))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(bucket[own[0]])], pa.int32()), pa.array([row], pa.binary())], schema=schema)
 
         for batch in batches:
-            out: list[tuple[int, int | None, bytes]] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((block, doc_id, planes(b"".join(map(known.__getitem__, chunks(text or ""))))))
-                if len(known) > KNOWN_CHUNKS:
-                    known.clear()
-                if len(number) >= block_words:
-                    yield from words()
-                    number.clear()
-                    known.clear()
-                    block += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.nulls(len(out), pa.int32()), pa.array([r[2] for r in out], pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, ROWS):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                for first, last, group in pieces.slices(texts):
+                    own = []
+                    for part in [group] if len(group) > 1 else [[p] for p in pieces.cut(group[0])]:
+                        s = pieces.split(part)
+                        numbers = np.fromiter((number.setdefault(w, len(number)) for w in s.distinct), np.uint32, len(s.distinct))[s.which]
+                        own += [x.tobytes() for x in np.split(numbers, np.cumsum(s.counts)[:-1])]
+                    data = [planes(x) for x in (own if len(group) > 1 else [b"".join(own)])]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(ids[first:last], pa.int64()), pa.nulls(len(data), pa.int32()), pa.array(data, pa.binary())], schema=schema)
+                    if len(number) >= block_words:
+                        yield from words()
+                        block += 1
         yield from words()
-        number.clear()
-        known.clear()
+        trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "block long, doc_id long, bucket int, data binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, doc_id long, bucket int, data binary")
 
 
 def distinct_words(rows: DataFrame) -> DataFrame:
-    """(word, blocks, numbers): each distinct word with its places; rows (block, bucket, data) come sorted by bucket."""
+    """(word, blocks, numbers): the bytes of each distinct word with its places; rows (block, bucket, data) come sorted by bucket."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, held = None, {}, []
 
         def told() -> Iterator[pa.RecordBatch]:
-            items = list(held.items())
-            for i in range(0, len(items), 5000):
-                part = items[i : i + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in part], pa.string()), pa.array([v[::2] for _, v in part], pa.list_(pa.int64())), pa.array([v[1::2] for _, v in part], pa.list_(pa.int32()))], names=["word", "blocks", "numbers"])
+            if not held:
+                return
+            which, block, number = (np.concatenate([h[k] for h in held]) for k in range(3))
+            words = list(seen)
+            held.clear()
+            seen.clear()
+            order = np.argsort(which, kind="stable")
+            which, block, number = which[order], block[order], number[order]
+            begin = np.flatnonzero(np.diff(which, prepend=-1))
+            # a row has at most PLACES places of its word
+            size = np.diff(begin, append=len(which))
+            times = -(-size // PLACES)
+            cut = np.repeat(begin, times) + (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)) * PLACES
+            for i in range(0, len(cut), WORDS):
+                own = cut[i : i + WORDS]
+                stop = int(cut[i + WORDS]) if i + WORDS < len(cut) else len(which)
+                data = [words[w] for w in which[own].tolist()]
+                ends = pa.array(np.append(own, stop) - own[0], pa.int32())
+                spelt = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, data)]), pa.int32()), pa.array(np.frombuffer(b"".join(data), np.uint8).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([spelt, pa.ListArray.from_arrays(ends, pa.array(block[own[0] : stop])), pa.ListArray.from_arrays(ends, pa.array(number[own[0] : stop].astype(np.int32)))], names=["word", "blocks", "numbers"])
 
         for batch in batches:
             for block, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if bucket != at:
                     yield from told()
-                    at, held = bucket, {}
+                    at = bucket
                 numbers, sizes, text = unpacked(data, 2)
                 end = np.cumsum(sizes).tolist()
-                for n, a, b in zip(numbers.tolist(), [0, *end], end):
-                    held.setdefault(text[a:b], []).extend((block, n))
+                which = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip([0, *end], end)), np.int64, len(end))
+                held.append((which, np.full(len(which), block, np.int64), numbers))
         yield from told()
+        trimmed()
 
-    return rows.select("block", "bucket", "data").mapInArrow(merge, "word string, blocks array<long>, numbers array<int>")
+    return rows.select("block", "bucket", "data").mapInArrow(run, "word array<int>, blocks array<long>, numbers array<int>")
 
 
 def by_block(encoded: DataFrame) -> DataFrame:
     """(block, data) from (blocks, numbers, ids): the ids of words go back to every block that has them."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, numbers, ids = batch.columns
-            word = np.repeat(np.arange(batch.num_rows), np.diff(blocks.offsets.to_numpy()))
-            block, number = blocks.flatten().to_numpy(), numbers.flatten().to_numpy()
+            places, numbers, ids = batch.columns
+            word = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            block, number = places.flatten().to_numpy(), numbers.flatten().to_numpy()
+            flat, end = ids.flatten().to_numpy().astype(np.uint32), ids.offsets.to_numpy().astype(np.int64)
+            end = end - end[0]
+            start, size = end[:-1], np.diff(end)
             order = np.argsort(block, kind="stable")
             rows = []
             for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
-                part = ids.take(pa.array(word[own]))
-                flat = part.flatten().to_numpy().astype(np.uint32)
-                rows.append((int(block[own[0]]), packed(number[own], np.diff(part.offsets.to_numpy()), data=planes(flat.tobytes()))))
+                w = word[own]
+                rows.append((int(block[own[0]]), packed(number[own], size[w], data=planes(gathered(flat, start[w], size[w]).tobytes()))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
+        trimmed()
 
-    return encoded.select("blocks", "numbers", "ids").mapInArrow(pack, "block long, data binary")
+    return encoded.select("blocks", "numbers", "ids").mapInArrow(run, "block long, data binary")
 
 
 def write_tables(rows: DataFrame, folder: str) -> DataFrame:
-    """One file for each block with the ids of its words in order, from rows (block, data) sorted by block; returns the blocks."""
+    """One file for each block with the ids of its words in order, from rows (block, data) sorted by block; returns (block, path)."""
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, parts, done = None, [], []
 
         def close() -> None:
             if at is None:
                 return
             numbers, sizes = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(2))
-            flat = np.concatenate([np.frombuffer(from_planes(p[2]), np.uint32) for p in parts])
+            flat = np.concatenate([from_planes(p[2]) for p in parts])
             start, order = np.cumsum(sizes) - sizes, np.argsort(numbers)
-            size = sizes[order]
-            end = np.cumsum(size)
-            ids = flat[np.repeat(start[order] - end + size, size) + np.arange(len(flat))]
-            offsets = np.concatenate([[0], end * 4]).astype(np.int64)
-            held = pa.table({"ids": pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])})
-            own = f"{root}/{at}.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(own, compression=None) as raw, pa.ipc.new_file(raw, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as sink:
-                sink.write_table(held)
-            store.move(own, f"{root}/{at}.arrow")  # any attempt's file is whole and the same
-            done.append(at)
+            ids = gathered(flat, start[order], sizes[order])
+            body = np.uint64(len(sizes)).tobytes() + sizes[order].astype(np.uint32).tobytes() + ids.tobytes()
+            done.append((at, whole_file(folder, f"{at}", pa.compress(body, "zstd", asbytes=True), len(body))))
 
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -225,39 +245,51 @@ def write_tables(rows: DataFrame, folder: str) -> DataFrame:
                     at, parts = block, []
                 parts.append(unpacked(data, 2))
         close()
-        yield pa.RecordBatch.from_pydict({"block": pa.array(done, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in done], pa.int64()), "path": pa.array([p for _, p in done], pa.string())})
+        trimmed()
 
-    return staged(rows.mapInArrow(write, "block long"), "bpe-blocks")
+    return staged(rows.mapInArrow(run, "block long, path string"), "bpe-blocks")
 
 
-def encode_documents(docs: DataFrame, rank_file: str | None = None, pattern: str = public_tokenizers.PATTERN, block_words: int = BLOCK_WORDS) -> DataFrame:
+def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded (bytes) of every document."""
     spark = docs.sparkSession
     ranks = load_ranks(rank_file or public_tokenizers.path(RANKS))
-    pieces = spark.sparkContext.broadcast([t for t, _ in sorted(ranks.items(), key=lambda x: x[1])])  # the vocabulary: a fixed size
+    tokens = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+    if {t: i for i, t in enumerate(tokens)} != ranks:
+        raise ValueError("ranks are not 0, 1, 2 ...")
+    held = spark.sparkContext.broadcast((b"".join(tokens), np.cumsum([0, *map(len, tokens)])))  # the vocabulary: a fixed size
     tasks = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    split = staged(blocks(docs, pattern, 4 * tasks, block_words), "bpe-split")
+    split = staged(blocks(docs, 4 * tasks, block_words), "bpe-split")
     words = split.where("bucket IS NOT NULL").select("block", "bucket", "data")
     distinct = distinct_words(words.repartition(tasks, "bucket").sortWithinPartitions("bucket"))
-    back = by_block(distinct.select("blocks", "numbers", encoded_word(F.col("word"), rank_map(ranks)).alias("ids")))
+    back = staged(by_block(distinct.select("blocks", "numbers", encoded_word(F.col("word"), ranks).alias("ids"))), "bpe-ids")
+    freed(spark)
     folder = fresh_path(spark, "bpe-tables")
-    count = max(1, split.select("block").distinct().count())
-    write_tables(back.repartition(min(count, 4096), "block").sortWithinPartitions("block"), folder)
-    if {t: i for i, t in enumerate(pieces.value)} != ranks:
-        raise ValueError("ranks are not 0, 1, 2 ...")
+    write_tables(back.repartition(tasks, "block").sortWithinPartitions("block"), folder)
+    dropped(spark, back)
+    freed(spark)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        piece, at, ids = pieces.value, None, []
+        text, cut = held.value
+        data, begin, length = np.frombuffer(text, np.uint8), cut[:-1], np.diff(cut)
+        at = flat = start = size = None
         for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for block, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if words and block != at:
-                    with store.open_input_file(f"{root}/{block}.arrow") as raw:
-                        at, ids = block, pa.ipc.open_file(raw).read_all().column(0).to_pylist()
-                data = b"".join(map(ids.__getitem__, array.array("I", from_planes(words))))
-                out.append((data, b"".join(map(piece.__getitem__, array.array("I", data)))))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(a) // 4 for a, _ in out], pa.int64()), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            for i in range(0, batch.num_rows, ROWS):
+                part, out = batch.slice(i, ROWS), []
+                for block, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if words and block != at:
+                        body = open_file(folder, f"{block}")
+                        n = int(np.frombuffer(body, np.uint64, 1)[0])
+                        size, flat = np.frombuffer(body, np.uint32, n, 8).astype(np.int64), np.frombuffer(body, np.uint32, -1, 8 + 4 * n)
+                        at, start = block, np.cumsum(size) - size
+                    own = np.zeros(0, np.uint32)
+                    if words:
+                        w = from_planes(words)
+                        own = gathered(flat, start[w], size[w])
+                    out.append((len(own), own.tobytes(), gathered(data, begin[own], length[own]).tobytes()))
+                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.binary()]))], names=["doc_id", "n_tokens", "ids", "decoded"])
+        trimmed()
 
     return split.where("bucket IS NULL").select("block", "doc_id", "data").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         there = sc._jsc.sc().getCheckpointDir()
         if there.isDefined():
-            return there.get()
+            return _qualified(spark, there.get())
         folder = "file://" + tempfile.mkdtemp(prefix="agoraflow-")
         sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return _qualified(spark, folder.rstrip("/"))
+
+
+def _qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme and host, as Spark itself completes it, so that tasks do not take it for a local path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -38,6 +48,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_of(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and the path of a folder in the shared place."""
+    return fs.FileSystem.from_uri(folder)
+
+
+def whole_file(folder: str, name: str, data: bytes, size: int) -> str:
+    """Write a file that appears under its name only when whole: 8 bytes with the size before compression, then data.
+
+    Every attempt of a task writes the same content, so a name that another attempt took meanwhile is left as it is.
+    """
+    store, root = store_of(folder)
+    store.create_dir(root, recursive=True)
+    own, path = f"{root}/{name}.{uuid.uuid4().hex}.tmp", f"{root}/{name}"
+    with store.open_output_stream(own, compression=None) as out:
+        out.write(size.to_bytes(8, "little") + data)
+    try:
+        store.move(own, path)
+    except OSError:
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(own)
+    return f"{folder}/{name}"
+
+
+def open_file(folder: str, name: str) -> bytes:
+    """The content that was compressed into a file of whole_file()."""
+    store, root = store_of(folder)
+    with store.open_input_stream(f"{root}/{name}", compression=None) as raw:
+        data = raw.read()
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def freed(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no table refers to any more; it does so when the driver collects garbage."""
     gc.collect()
@@ -52,6 +94,15 @@ def dropped(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def word_array(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -1,7 +1,7 @@
 """Token-id shards compressed by Re-Pair grammars.
 
-Documents are dealt by ranges of doc_id and encoded; each shard's id sequence is compressed by rounds that give every
-frequent pair of neighbours a nonterminal of its own and replace it, left to right, until a round saves too little.
+Documents are dealt by ranges of doc_id and encoded; in each shard's id sequence frequent pairs of neighbours are replaced
+by nonterminals, the most frequent ones first, round by round, until no pair occurs LEAST_COUNT times.
 A shard file holds the rules, the length of what each nonterminal expands to, where documents begin, and the symbols;
 so any document or range of ids is decoded without expanding the rest. No pair crosses the end of a document.
 
@@ -18,72 +18,86 @@ from __future__ import annotations
 
 import array
 import functools
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from agoraflow.llm.pretokens import chunks
-from agoraflow.llm.shared import fresh_path, staged
+from agoraflow.llm import pieces
+from agoraflow.llm.shared import fresh_path, staged, store_of, trimmed
 
 TOKENIZER, END = "byte_bpe_50k.json", 2
 #: A shard is closed at so many ids.
 SHARD_IDS = 1 << 21
-ROUNDS, LEAST_COUNT, BINS, PAIRS = 8, 16, 1 << 20, 2000
-#: A round that saves a smaller share of the symbols is the last.
-LEAST_SAVING = 0.01
-#: Distinct chunks, and distinct pieces, whose ids a worker remembers.
-KNOWN = 800_000
+#: A rule takes three numbers in the file and an occurrence saves one, so pairs of fewer occurrences are left.
+LEAST_COUNT = 4
+#: Pairs of a round are at least this part as frequent as the most frequent; from SIEVE on, pairs are counted by BITS of a hash first.
+DROP, SIEVE, BITS = 8, 64, 19
+#: Distinct pieces whose ids a worker remembers; texts encoded together.
+KNOWN, ROWS = 800_000, 1024
 MAGIC = b"RPAIR001"
 
 
 class Encoder:
-    """Ids of texts by a byte-level BPE file of the tokenizers library, whose model encodes each distinct piece once."""
+    """Ids of texts as Tokenizer.encode(text, add_special_tokens=False) gives them, from a byte-level BPE file of the tokenizers library.
+
+    The library's model encodes each distinct piece of a slice of texts that the worker does not know yet; texts that spell
+    an added token go through the library's own encode.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
-        self.find = regex.compile(public_tokenizers.PATTERN).findall
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
         # bytes as the characters that byte-level vocabularies write them with: printable ones as they are, others from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.char = [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
-        self.pieces = _Filled(self._piece)
-        self.known = _Filled(self._chunk)
+        self.spelling = {b: c for b, c in enumerate(self.char)}
+        self.known: dict[str, bytes] = {}
+        self.first = 1 + max(max(t.id for t in self.model.tokenize(c)) for c in self.char)
 
     def _piece(self, word: str) -> bytes:
-        spelt = "".join([self.char[b] for b in word.encode()])
+        spelt = word.encode().decode("latin-1").translate(self.spelling)
         return array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
 
-    def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(chunk)))
-
-    def encode(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit numbers."""
-        for held in (self.known, self.pieces):
-            if len(held) > KNOWN:
-                held.clear()
-        return b"".join(map(self.known.__getitem__, chunks(text)))
-
-
-class _Filled(dict):
-    """A dictionary that computes what it lacks."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        self[key] = out = self.make(key)
+    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
+        s = pieces.split(texts)
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        data = []
+        for word in s.distinct:
+            own = self.known.get(word)
+            if own is None:
+                own = self.known[word] = self._piece(word)
+            data.append(own)
+        flat = np.frombuffer(b"".join(data), np.uint32)
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        start = np.cumsum(size) - size
+        count = size[s.which]
+        end = np.cumsum(count)
+        ids = flat[np.repeat(start[s.which] - end + count, count) + np.arange(len(count) and end[-1])]
+        return np.split(ids, np.append(0, end)[np.cumsum(s.counts)[:-1]])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text as unsigned 32-bit numbers."""
+        plain = ["" if t is None or self.added(t) else t for t in texts]
+        out: list[np.ndarray] = []
+        for _, _, group in pieces.slices(plain):
+            out += self._pieces(group) if len(group) > 1 else [np.concatenate([self._pieces([part])[0] for part in pieces.cut(group[0])])]
+        for k, t in enumerate(texts):
+            if t and not plain[k]:
+                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -93,46 +107,69 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _counted(a: np.ndarray, b: np.ndarray, inside: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs that may occur `limit` times, the distinct pairs there, which of them each place has, and their counts."""
+    at = np.flatnonzero(inside)
+    if limit >= SIEVE:  # a count by hash leaves out most rare pairs, so that few are sorted
+        h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - BITS)
+        at = at[(np.bincount(h[at], minlength=1 << BITS) >= limit)[h[at]]]
+    return (at, *np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True))
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, each document's end among them, rules and expansion lengths. ids < first; ends: where documents end."""
-    seq, rules, lengths = ids.astype(np.uint32), [], []
+    """Symbols, each document's end among them, rules and expansion lengths. ids < first; ends: where documents end.
+
+    In each round every pair that occurs `limit` times gets a nonterminal, and the limit falls to 1 / DROP; where two of them
+    overlap, the more frequent one is replaced. At LEAST_COUNT, rounds go on over pairs with a symbol of the round before;
+    all ends when a count of all pairs finds none that occurs LEAST_COUNT times within documents.
+    """
+    seq, rules = ids.astype(np.uint32), []
     size = np.ones(first, np.uint32)
-    for _ in range(ROUNDS):
-        room = (1 << 16) - first - len(rules)
-        if len(seq) < 2 or room <= 0:
-            break
+    last = np.zeros(len(seq), bool)  # symbols that end a document
+    last[ends[ends > 0] - 1] = True
+    limit, fresh = max(LEAST_COUNT, len(seq) // DROP), 0  # fresh: pairs with a symbol from it on are counted
+    while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(12)
-        h = h.astype(np.int64)
-        counts = np.bincount(h, minlength=BINS)
-        limit = max(LEAST_COUNT, int(np.partition(counts, -PAIRS)[-PAIRS]))
-        within = np.ones(len(a), bool)
-        within[ends[ends < len(seq)] - 1] = False
-        at = np.flatnonzero((counts >= limit)[h] & within)
-        pairs, of, n = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
+        inside = ~last[:-1]
+        if fresh:
+            inside &= (a >= fresh) | (b >= fresh)
+        at, pairs, of, n = _counted(a, b, inside, limit)
         good = np.flatnonzero(n >= limit)
-        good = good[np.argsort(-n[good], kind="stable")][:room]
-        number = np.full(len(pairs), -1, np.int64)
-        number[good] = np.arange(len(good)) + first + len(rules)
-        symbol = number[of]
-        at, symbol = at[symbol >= 0], symbol[symbol >= 0]
-        begins = np.r_[True, np.diff(at) != 1] if len(at) else np.zeros(0, bool)
+        if not len(good):
+            if limit == LEAST_COUNT and not fresh:
+                break
+            limit, fresh = max(LEAST_COUNT, limit // DROP), 0
+            continue
+        order = np.full(len(pairs), len(pairs), np.int64)
+        order[good[np.argsort(-n[good], kind="stable")]] = np.arange(len(good))
+        mine = order[of]
+        at, mine = at[mine < len(pairs)], mine[mine < len(pairs)]
+        # of overlapping pairs the more frequent one stays; of equal ones in a row every other one
+        near = np.diff(at) == 1
+        beaten = np.zeros(len(at), bool)
+        beaten[1:] |= near & (mine[:-1] < mine[1:])
+        beaten[:-1] |= near & (mine[1:] < mine[:-1])
+        at, mine = at[~beaten], mine[~beaten]
         place = np.arange(len(at))
-        even = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0  # of overlapping pairs every other one
-        at, symbol = at[even], symbol[even]
-        if len(at) < LEAST_SAVING * len(seq):
-            break
+        even = (place - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))) % 2 == 0
+        at, mine = at[even], mine[even]
+        used, symbol = np.unique(mine, return_inverse=True)
+        pair = np.empty(len(good), np.uint64)
+        pair[order[good]] = pairs[good]
+        left, right = (pair[used] >> np.uint64(32)).astype(np.uint32), pair[used].astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
+        last[at] = last[at + 1]
         seq = seq.copy()
-        seq[at] = symbol
-        seq = seq[keep]
-        ends = ends - np.searchsorted(at + 1, ends, "left")
-        left, right = (pairs[good] >> np.uint64(32)).astype(np.uint32), pairs[good].astype(np.uint32)
-        rules += list(zip(left.tolist(), right.tolist(), strict=True))
+        seq[at] = symbol + len(size)
+        seq, last = seq[keep], last[keep]
+        rules.append(np.stack([left, right], 1))
+        fresh = len(size) if limit == LEAST_COUNT else 0
+        limit = max(LEAST_COUNT, limit // DROP)
         size = np.concatenate([size, size[left] + size[right]])
-        lengths = size[first:]
-    return seq, ends, np.array(rules, np.uint32).reshape(-1, 2), np.asarray(lengths, np.uint32)
+    ended = np.flatnonzero(last) + 1
+    # documents without symbols end where those before them do
+    return seq, np.append(0, ended)[np.searchsorted(np.unique(ends[ends > 0]), ends, "right")], np.concatenate([np.zeros((0, 2), np.uint32), *rules]), size[first:]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
@@ -200,32 +237,34 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = store_of(folder)
         store.create_dir(root, recursive=True)
-        encoder, stop = encoder_of(path), array.array("I", [end]).tobytes()
-        first = max(max(t.id for t in encoder.model.tokenize(c)) for c in encoder.char) + 1
-        doc_ids, data, size, top, rows = [], [], 0, 0, []
+        encoder, stop = encoder_of(path), np.array([end], np.uint32)
+        doc_ids, data, size, rows = [], [], 0, []
 
         def flush() -> None:
             nonlocal size
             if doc_ids:
-                ids = np.frombuffer(b"".join(data), np.uint32)
+                ids = np.concatenate(data)
                 name = f"{root}/{uuid.uuid4().hex}.rpair"
                 with store.open_output_stream(name, compression=None) as out:
-                    out.write(pack(list(doc_ids), ids, np.array([len(x) // 4 for x in data]), max(first, 1 + int(ids.max())), end))
+                    out.write(pack(list(doc_ids), ids, np.array([len(x) for x in data]), max(encoder.first, 1 + int(ids.max())), end))
                 rows.append((TaskContext.get().partitionId(), len(rows), f"{folder}/{name.rsplit('/', 1)[1]}", len(doc_ids), len(ids)))
                 doc_ids.clear()
                 data.clear()
                 size = 0
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                data.append(encoder.encode(text or "") + stop)
-                size += len(data[-1]) // 4
-                if size >= shard_ids:
-                    flush()
+            for at in range(0, batch.num_rows, ROWS):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, ROWS).columns)
+                for doc_id, own in zip(ids, encoder.encode(texts), strict=True):
+                    doc_ids.append(doc_id)
+                    data.append(np.concatenate([own, stop]))
+                    size += len(data[-1])
+                    if size >= shard_ids:
+                        flush()
         flush()
+        trimmed()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()])], names=["part", "nth", "path", "n_docs", "n_ids"])
 
@@ -248,7 +287,7 @@ def read_shards(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, place = fs.FileSystem.from_uri(path)
+                store, place = store_of(path)
                 with store.open_input_stream(place, compression=None) as file:
                     shard = Shard(file.read())
                 starts = start + np.cumsum(shard.counts) - shard.counts

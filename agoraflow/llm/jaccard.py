@@ -1,15 +1,17 @@
 """N-gram Jaccard join with signature trees.
 
-Texts with the same shingle set are one node. Nodes whose sets can reach the similarity share a shingle among the first
-n - ceil(0.75 n) + 1 of their sets in any common order; the order used here is that of a sketch's counts, rare ones
-first, so passages of many documents seldom bring nodes together. Nodes that meet under a shingle form a group.
-Each is first compared with its neighbour in order of size alone, which contracts groups of copies. Groups that still hold
-several classes go through a signature tree: leaves hold bitmaps of shingles, inner nodes the OR of their children and
-the range of their sizes, and a dual traversal leaves out pairs of tree nodes whose sizes, classes or possible overlap
-exclude a link. What remains is compared set by set. Components are found by large-star and small-star rounds.
-
-No text or set is shuffled but those of candidate pairs: sets stay where they were written, and which of them count is
-told by one small file for each task. Sets are of 64-bit hashes.
+Texts with the same shingle set are one node. Sets that can reach the similarity share a shingle among the first
+n - ceil(0.75 n) + 1 of their sets in any common order; the order used is that of a sketch's counts, rare ones first, so
+passages of many documents seldom bring nodes together. Each such shingle is the root of a signature tree over the nodes
+that have it; of shingles with the same nodes one is enough. Leaves, in order of size, hold a bitmap of a set; inner
+nodes the OR of their children's bitmaps and the range of their sizes. Every candidate comes out of a tree, in two
+traversals: the first takes neighbouring leaves whose bitmaps allow a link, and the links among them join leaves to
+classes; the second descends from pairs of nodes, and leaves out those whose sizes, classes or greatest possible overlap
+exclude a link. Candidates are compared set by set. Components are found by large-star and small-star rounds.
+
+A tree has at most TILE leaves: a shingle of more nodes has several trees, which are traversed pair by pair. Texts are
+staged once with a number; sets are made again from them where they are needed, and which of them is told by one small
+file for each task, so no text is shuffled, and of sets only those of candidate pairs. Sets are of 64-bit hashes.
 
 Defined results: null and blank texts have no shingles and are components of their own; fewer than five words are one
 shingle; equal texts have one component; null ids join components and are never their name unless no id is known;
@@ -18,26 +20,26 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import array
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm.shared import dropped, freed, fresh_path, staged
-from agoraflow.llm.sidefiles import read_numbers, write_numbers
+from agoraflow.llm import pieces
+from agoraflow.llm.shared import SEPARATORS, dropped, freed, fresh_path, staged, trimmed, unused
+from agoraflow.llm.sidefiles import TASK_BITS, read_numbers, write_numbers
 
 WORDS, PERCENT = 5, 75
 #: Counters of the frequency sketch: fixed, so that it can be broadcast.
-SKETCH = 1 << 20
-SLICES = 64
-#: Word hashes that a task remembers.
-KNOWN_WORDS = 500_000
-MARK, BROADCAST_ROWS = "_j_mark", 200_000
+#: Counters of the sketch, in so many parts; characters of texts that are split together.
+SKETCH, SLICES, SLICE = 1 << 20, 64, 1 << 18
+BROADCAST_ROWS = 200_000
+#: Leaves of a tree; texts made into sets together.
+TILE, ROWS = 2048, 512
 #: Children of a tree node.
 FANOUT = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -49,15 +51,50 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of runs of `size` words; of the whole sequence if it is shorter; none without words."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    out = np.full(max(1, n - size + 1), min(n, size), np.uint64)
-    for i in range(min(n, size)):
-        out = _mixed(out * _P + words[i : i + len(out)])
-    return np.unique(out)
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(where words begin, their hashes) in UTF-8 text, A-Z in lower case."""
+    weights, separators, lower = _bytes()
+    code = np.frombuffer(data, np.uint8)
+    apart = separators[code]
+    at = np.flatnonzero(~apart & np.append(True, apart[:-1]))
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    stop = np.flatnonzero(apart & np.append(False, ~apart[:-1]))
+    size = (stop if len(stop) == len(at) else np.append(stop, len(code))) - at
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    letters = lower[code[~apart]]
+    powers = np.cumprod(np.full(int(size.max()), _P, np.uint64))
+    return at, _mixed(np.add.reduceat(weights[letters] * powers[place], begin) + size.astype(np.uint64))
+
+
+@functools.lru_cache(maxsize=1)
+def _bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    separators, lower = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+    separators[[ord(c) for c in SEPARATORS]] = True
+    lower[65:91] += 32
+    return np.random.default_rng(11).integers(0, 1 << 63, 256, np.uint64), separators, lower
+
+
+def shingle_sets(texts: list[str | None], size: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of runs of `size` words; of the whole sequence if it is shorter; none without words."""
+    out: list[np.ndarray] = []
+    for _, _, group in pieces.slices(texts, SLICE):
+        data = [t.encode() for t in group]
+        at, words = word_hashes(b" ".join(data))
+        ends = np.searchsorted(at, np.cumsum([len(d) + 1 for d in data]))
+        run = np.full(max(0, len(words) - size + 1), size, np.uint64)
+        for i in range(size):
+            run = _mixed(run * _P + words[i : i + len(run)])
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            if b - a >= size:
+                out.append(np.unique(run[a : b - size + 1]))
+            else:
+                whole = np.full(min(1, b - a), b - a, np.uint64)
+                for w in words[a:b]:
+                    whole = _mixed(whole * _P + w)
+                out.append(whole)
+    return out
 
 
 def needed(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
@@ -137,43 +174,57 @@ def tree_pairs(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray) -> I
                 yield own[i], more[j]
 
 
+def across(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As tree_pairs(), for pairs of a set in `first` and one that is not."""
+    length = np.array([len(x) for x in bits])
+    order = np.argsort(size, kind="stable")
+    sides = [{int(n): order[(length[order] == n) & (first[order] == side)] for n in np.unique(length)} for side in (True, False)]
+
+    def tree(own: np.ndarray, n: int) -> Tree:
+        return Tree(np.stack([folded(bits[k], n) for k in own]), size[own], label[own])
+
+    for n, own in sides[0].items():
+        for m, other in sides[1].items():
+            # sets link only if their sizes, and so the lengths of their bitmaps, differ by a factor of two at most
+            if len(own) and len(other) and max(n, m) <= 2 * min(n, m):
+                k = min(n, m)
+                for i, j in dual(tree(own, k), tree(other, k), False):
+                    yield own[i], other[j]
+
+
 def row_mark() -> Column:
-    """A hash of id and text: rows with equal marks are repeated rows."""
-    return F.xxhash64("doc_id", "text").alias("mark")
+    """128 bits of hashes of id and text: rows with equal marks are repeated rows."""
+    return F.concat_ws(" ", F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id")).alias("mark")
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """Rows (ref, doc_id, mark, n, key, own) of documents, own (the set) only where the task meets it first, and rows (slice, counts) of the sketch."""
-    schema = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("own", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+def numbered(docs: DataFrame) -> DataFrame:
+    """(ref, doc_id, mark, text): ref is the number of the task that wrote the row times 2^33 plus its place."""
+    rows = docs.select(F.monotonically_increasing_id().alias("ref"), F.col("doc_id").cast("long"), row_mark(), F.col("text").cast("string"))
+    return staged(rows, "texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class Hashes(dict):
-            def __missing__(self, word: bytes) -> int:
-                self[word] = h = xxhash.xxh3_64_intdigest(word)
-                return h
 
-        hashes, sketch, seen = Hashes(), np.zeros(SKETCH, np.uint32), set()
-        ref = TaskContext.get().partitionId() << 32
+def keyed(texts: DataFrame) -> DataFrame:
+    """Rows (ref, doc_id, mark, n, key), key a hash of the whole set, and rows (slice, counts) of the sketch, in which a task counts each set once."""
+    schema = pa.schema([("ref", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.string()), ("n", pa.int64()), ("key", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, seen = np.zeros(SKETCH, np.uint32), set()
         for batch in batches:
-            rows = []
-            for doc_id, text, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if len(hashes) > KNOWN_WORDS:
-                    hashes.clear()
-                own = shingles(np.array(array.array("Q", map(hashes.__getitem__, (text or "").encode().lower().split())), np.uint64))
-                key = xxhash.xxh3_128_digest(own.tobytes())
-                first = len(own) > 0 and key not in seen
-                if first:
-                    seen.add(key)
-                    np.add.at(sketch, (own & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-                rows.append((ref, doc_id, mark, len(own), key, own.tobytes() if first else None))
-                ref += 1
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = shingle_sets(part.column(3).to_pylist())
+                keys = [xxhash.xxh3_128_digest(own.tobytes()) for own in sets]
+                new = [own for key, own in dict(zip(keys, sets, strict=True)).items() if len(own) and key not in seen]
+                seen.update(keys)
+                if new:
+                    sketch += np.bincount((np.concatenate(new) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                m = part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         if seen:
-            part = sketch.reshape(SLICES, -1)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, schema.field(i).type) for i in range(6)), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, schema.field(i).type) for i in range(5)), pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in sketch.reshape(SLICES, -1)], pa.binary())], schema=schema)
+        trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_mark()).mapInArrow(run, "ref long, doc_id long, mark long, n long, key binary, own binary, slice int, counts binary")
+    return texts.select("ref", "doc_id", "mark", "text").mapInArrow(run, "ref long, doc_id long, mark string, n long, key binary, slice int, counts binary")
 
 
 def frequency_sketch(parts: DataFrame) -> np.ndarray:
@@ -193,109 +244,145 @@ def frequency_sketch(parts: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(sets: DataFrame, folder: str, sketch) -> DataFrame:
-    """(h, node, n): the shingles under which the sets named in folder are to meet."""
+def of_sets(texts: DataFrame, folder: str, make, kind: str) -> DataFrame:
+    """What make(refs, sets) gives as a record batch for the rows whose numbers the files in folder name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        at, wanted = None, frozenset()
+        at, wanted = None, np.zeros(0, np.int64)
         for batch in batches:
-            hs, nodes, ns = [], [], []
-            for ref, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ref >> 32 != at:
-                    at, wanted = ref >> 32, frozenset(read_numbers(folder, ref >> 32))
-                if ref not in wanted:
-                    continue
-                own = np.frombuffer(data, np.uint64)
-                count = counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]
-                first = own[np.lexsort((own, count))[: len(own) - -(-PERCENT * len(own) // 100) + 1]]
-                hs.append(first)
-                nodes.append(np.full(len(first), ref, np.int64))
-                ns.append(np.full(len(first), len(own), np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(ns))], names=["h", "node", "n"])
-
-    return sets.select("ref", "own").mapInArrow(run, "h long, node long, n int")
-
-
-def groups(rows: DataFrame) -> DataFrame:
-    """(h, node, prior) of every shingle under which two or more nodes meet; rows come sorted by h, n and node.
-
-    prior is the node before, -1 if there is none or its size excludes a link.
-    """
+            refs = batch.column(0).to_numpy()
+            keep = np.zeros(len(refs), bool)
+            for task in np.unique(refs >> TASK_BITS).tolist():
+                if task != at:
+                    at, wanted = task, np.array(read_numbers(folder, task), np.int64)
+                keep |= np.isin(refs, wanted)
+            some = np.flatnonzero(keep)
+            for i in range(0, len(some), ROWS):
+                own = some[i : i + ROWS]
+                yield make(refs[own].tolist(), shingle_sets(batch.column(1).take(pa.array(own)).to_pylist()))
+        trimmed()
+
+    return texts.select("ref", "text").mapInArrow(run, kind)
+
+
+def prefixes(texts: DataFrame, folder: str, sketch) -> DataFrame:
+    """(h, node, n): the shingles under which the sets named in folder are to meet."""
+
+    def make(refs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        counts = sketch.value
+        first = [own[np.lexsort((own, counts[(own & np.uint64(SKETCH - 1)).astype(np.int64)]))[: len(own) - -(-PERCENT * len(own) // 100) + 1]] for own in sets]
+        size = [len(x) for x in first]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(refs, size)), pa.array(np.repeat([len(x) for x in sets], size).astype(np.int32))], names=["h", "node", "n"])
+
+    return of_sets(texts, folder, make, "h long, node long, n int")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """(h, node, n, tile) of every shingle under which two or more nodes meet, from rows sorted by h, n and node; a tile is TILE nodes in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h, last_node, last_n, told = None, -1, 0, True
+        held, place = None, 0  # the last row, which may begin a group, and its place in its group
+
+        def rows_of(h, node, n, tile) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(n), pa.array(tile.astype(np.int32))], names=["h", "node", "n", "tile"])
+
         for batch in batches:
-            h, node, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(h):
+            if not batch.num_rows:
                 continue
-            after = np.r_[h[0] == last_h, h[1:] == h[:-1]]
-            keep = after | np.r_[after[1:], False]
-            near = after & (100 * np.r_[last_n, n[:-1]].astype(np.int64) >= PERCENT * n.astype(np.int64))
-            prior = np.where(near, np.r_[last_node, node[:-1]], -1)
-            out = [h[keep], node[keep], prior[keep]]
-            if after[0] and not told:  # the row before this batch turns out to begin a group
-                out = [np.r_[x, y] for x, y in zip((last_h, last_node, -1), out, strict=True)]
-            last_h, last_node, last_n, told = int(h[-1]), int(node[-1]), int(n[-1]), bool(keep[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], names=["h", "node", "prior"])
+            columns = [batch.column(i).to_numpy() for i in range(3)]
+            if held is not None:
+                columns = [np.append(x, y) for x, y in zip(held, columns, strict=True)]
+            h = columns[0]
+            same = h[1:] == h[:-1]
+            begin = np.flatnonzero(np.append(True, ~same))
+            at = np.arange(len(h)) - np.repeat(begin, np.diff(begin, append=len(h)))
+            at[: begin[1] if len(begin) > 1 else len(h)] += place
+            keep = (at > 0) | np.append(same, False)
+            keep[-1] = False  # told with the next batch
+            if keep.any():
+                yield rows_of(*(x[keep] for x in columns), at[keep] // TILE)
+            held, place = [x[-1:] for x in columns], int(at[-1])
+        if held is not None and place > 0:
+            yield rows_of(*held, np.array([place // TILE]))
 
-    return rows.select("h", "node", "n").mapInArrow(run, "h long, node long, prior long")
+    return rows.select("h", "node", "n").mapInArrow(run, "h long, node long, n int, tile int")
 
 
-def signatures(sets: DataFrame, folder: str) -> DataFrame:
-    """(node, n, bits, own) of the sets named in folder."""
+def one_of_each(meetings: DataFrame) -> DataFrame:
+    """meetings without the shingles whose nodes are those of another shingle."""
+    nodes = [F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x")]
+    roots = meetings.groupBy("h").agg(*nodes).groupBy("c", "s", "x").agg(F.min("h").alias("h")).select("h")
+    return meetings.join(roots, "h", "left_semi")
+
+
+def signatures(texts: DataFrame, folder: str) -> DataFrame:
+    """(node, bits) of the sets named in folder."""
+
+    def make(refs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array([bitmap(x, bit_count(len(x))).tobytes() for x in sets], pa.binary())], names=["node", "bits"])
+
+    return of_sets(texts, folder, make, "node long, bits binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, wanted = None, frozenset()
-        for batch in batches:
-            rows = []
-            for ref, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if ref >> 32 != at:
-                    at, wanted = ref >> 32, frozenset(read_numbers(folder, ref >> 32))
-                if ref in wanted:
-                    own = np.frombuffer(data, np.uint64)
-                    rows.append((ref, len(own), bitmap(own, bit_count(len(own))).tobytes(), data))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int32(), pa.binary(), pa.binary()])], names=["node", "n", "bits", "own"])
 
-    return sets.select("ref", "own").mapInArrow(run, "node long, n int, bits binary, own binary")
+def linking(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets link."""
+    spark, folder = pairs.sparkSession, fresh_path(pairs.sparkSession, "compared")
+    write_numbers(pairs.select("a").union(pairs.select("b")), folder)
 
+    def make(refs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "own"])
 
-def compared(pairs: DataFrame, active: DataFrame, column: str) -> DataFrame:
-    """Pairs (a, b) that link by their sets (column own) or may link by their bitmaps (column bits)."""
-    exact = column == "own"
+    sets = staged(of_sets(texts, folder, make, "node long, own binary"), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for n, x, m, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if exact:
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                else:
-                    lost = min(n - int(np.bitwise_count(p).sum()), m - int(np.bitwise_count(q).sum()))
-                    k = min(len(p), len(q))
-                    p2, q2 = folded(p, k), folded(q, k)
-                    lost = min(n - int(np.bitwise_count(p2).sum()), m - int(np.bitwise_count(q2).sum()))
-                    both = min(n, m, int(np.bitwise_count(p2 & q2).sum()) + lost)
-                keep.append(both >= needed(n, m))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    left = active.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x"))
-    right = active.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("y"))
-    near = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
-    both = pairs.join(left, "a").join(right, "b").where(near)
-    return both.select("a", "b", "n_a", "x", "n_b", "y").mapInArrow(run, "a long, b long")
-
-
-def traversed(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a < b, from rows (h, node, n, bits, label) sorted by h: one signature tree for each shingle's group."""
-
-    def pairs(group: list[tuple[int, int, bytes, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        node = np.array([g[0] for g in group], np.int64)
-        size, label = np.array([g[1] for g in group], np.int64), np.array([g[3] for g in group], np.int64)
-        for i, j in tree_pairs(size, [np.frombuffer(g[2], np.uint64) for g in group], label):
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    keep.append(len(np.intersect1d(p, q, assume_unique=True)) >= needed(len(p), len(q)))
+            told = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(told), batch.column(1).filter(told)], names=["a", "b"])
+        trimmed()
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    out = staged(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
+    dropped(spark, sets)
+    freed(spark)
+    return out
+
+
+def neighbours(size: np.ndarray, bits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of neighbouring leaves, in order of size, that may link by their bitmaps."""
+    order = np.argsort(size, kind="stable")
+    found = []
+    for i, j in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        if 100 * size[i] < PERCENT * size[j]:
+            continue
+        k = min(len(bits[i]), len(bits[j]))
+        p, q = folded(bits[i], k), folded(bits[j], k)
+        lost = min(size[i] - int(np.bitwise_count(p).sum()), size[j] - int(np.bitwise_count(q).sum()))
+        if int(np.bitwise_count(p & q).sum()) + lost >= needed(int(size[i]), int(size[j])):
+            found.append((i, j))
+    return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def traversed(rows: DataFrame, full: bool) -> DataFrame:
+    """Candidate pairs (a, b), a < b, from rows (h, t, u, tile, node, n, bits, label) sorted by h, t, u: the trees of tiles t and u of
+    a shingle, traversed from their roots (full), or the neighbouring leaves of one tree."""
+
+    def pairs(group: list[tuple], apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node, size, label = (np.array([g[k] for g in group], np.int64) for k in (1, 2, 4))
+        bits = [np.frombuffer(g[3], np.uint64) for g in group]
+        if not full:
+            found = [neighbours(size, bits)]
+        elif apart:
+            side = np.array([g[0] for g in group])
+            found = across(size, bits, label, side == side.min())
+        else:
+            found = tree_pairs(size, bits, label)
+        for i, j in found:
             yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,22 +390,38 @@ def traversed(rows: DataFrame) -> DataFrame:
         done: set[tuple[int, int]] = set()
 
         def told() -> Iterator[pa.RecordBatch]:
-            for a, b in pairs(group) if len(group) > 1 else ():
+            for a, b in pairs(group, at[1] != at[2]) if len(group) > 1 else ():
                 new = [p for p in zip(a.tolist(), b.tolist(), strict=True) if p not in done]
-                if len(done) > 500_000:
+                if len(done) > 200_000:
                     done.clear()
                 done.update(new)
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for h, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if h != at:
-                    yield from told()
-                    at, group = h, []
-                group.append(tuple(row))
+            for i in range(0, batch.num_rows, ROWS):
+                for h, t, u, *row in zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns), strict=True):
+                    if (h, t, u) != at:
+                        yield from told()
+                        at, group = (h, t, u), []
+                    group.append(tuple(row))
         yield from told()
+        trimmed()
+
+    parts = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("h", "t", "u", "tile", "node", "n", "bits", "label").repartition(parts, "h", "t", "u").sortWithinPartitions("h", "t", "u")
+    return staged(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
 
-    return rows.mapInArrow(run, "a long, b long")
+
+def tile_pairs(members: DataFrame) -> DataFrame:
+    """(h, t, u) of tiles of a shingle, t <= u, that hold different classes and whose sizes allow a link."""
+    tiles = staged(members.groupBy("h", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("c")), "tiles")
+    alone = tiles.where("x <> y").select("h", F.col("tile").alias("t"), F.col("tile").alias("u"))
+    some = tiles.where("tile > 0").select("h").distinct()  # shingles of several tiles
+    several = tiles.join(some, "h", "left_semi")
+    left, right = several.select("h", *(F.col(c).alias(f"{c}1") for c in ("tile", "low", "high", "x", "y"))), several.select("h", *(F.col(c).alias(f"{c}2") for c in ("tile", "low", "high", "x", "y")))
+    near = (F.col("tile1") < F.col("tile2")) & (100 * F.col("high1") >= PERCENT * F.col("low2")) & ((F.least("x1", "x2") != F.greatest("y1", "y2")))
+    return alone.unionByName(left.join(right, "h").where(near).select("h", F.col("tile1").alias("t"), F.col("tile2").alias("u")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -345,35 +448,31 @@ def components(links: DataFrame) -> DataFrame:
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, ref (a number of the row), mark and group of every document."""
     spark = docs.sparkSession
-    table = staged(shingled(docs), "shingles")
-    rows = staged(table.where("ref IS NOT NULL").select("ref", "doc_id", "mark", "n", "key"), "rows")
-    sketch = spark.sparkContext.broadcast(frequency_sketch(table.where("slice IS NOT NULL").select("slice", "counts")))
+    texts = numbered(docs)
+    table = staged(keyed(texts), "keys")
+    rows = table.where("ref IS NOT NULL").select("ref", "doc_id", "mark", "n", "key")
+    sketch = spark.sparkContext.broadcast(frequency_sketch(table.where("slice IS NOT NULL").select("slice", "counts")))  # SKETCH counters
     nodes = staged(rows.where("n > 0").groupBy("key").agg(F.min("ref").alias("node"), F.min("doc_id").alias("least")), "nodes")
-    sets = table.where("own IS NOT NULL").select("ref", "own")
     named = fresh_path(spark, "nodes")
     write_numbers(nodes.select("node"), named)
-    met = prefixes(sets, named, sketch)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meetings = staged(groups(met.repartition(parts, "h").sortWithinPartitions("h", "n", "node")), "meetings")
-    freed(spark)
-    taken = fresh_path(spark, "active")
-    write_numbers(meetings.select("node").distinct(), taken)
-    active = staged(signatures(sets, taken), "active")
-    dropped(spark, table)
-    chain = meetings.where("prior >= 0").select(F.least("prior", "node").alias("a"), F.greatest("prior", "node").alias("b")).distinct()
-    near = staged(compared(chain, active, "bits"), "near")
+    meetings = staged(met(prefixes(texts, named, sketch).repartition(parts, "h").sortWithinPartitions("h", "n", "node")), "meetings")
     freed(spark)
-    first = staged(compared(near, active, "own"), "chain-links")
+    meetings = staged(one_of_each(meetings), "roots")
     freed(spark)
-    label = components(first).withColumnRenamed("root", "to")  # contracts groups of copies before the trees
-    labelled = meetings.select("h", "node").join(label, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
-    labelled = staged(labelled, "labelled")
-    mixed = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    rest = labelled.join(mixed, "h").join(active.select("node", "n", "bits"), "node").select("h", "node", "n", "bits", "label")
-    found = traversed(rest.repartition(parts, "h").sortWithinPartitions("h")).distinct()
-    found = staged(found, "tree-pairs")
+    taken = fresh_path(spark, "active")
+    write_numbers(meetings.select("node"), taken)
+    bits = staged(signatures(texts, taken), "signatures")
+    members = staged(meetings.join(bits, "node").withColumn("label", F.col("node")), "members")
+    leaves = members.withColumns({"t": F.col("tile"), "u": F.col("tile")})
+    first = linking(traversed(leaves, False), texts)
     freed(spark)
-    second = staged(compared(found, active, "own"), "tree-links")
+    label = components(first).withColumnRenamed("root", "to")
+    members = members.join(label, "node", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    tiles = staged(tile_pairs(members), "tile-pairs")
+    one = members.join(tiles.withColumn("tile", F.col("t")), ["h", "tile"])
+    two = members.join(tiles.where("t < u").withColumn("tile", F.col("u")), ["h", "tile"])
+    second = linking(traversed(one.unionByName(two), True), texts)
     freed(spark)
     roots = components(first.unionByName(second))
     named_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -395,11 +494,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     judged = staged(rows.join(best, "group").groupBy("mark").agg(F.max(F.col("mark") == F.col("best")).alias("stays"), F.count(F.lit(1)).alias("times")).where("NOT stays OR times > 1"), "judged")
     held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     own = [f"`{c}`" for c in docs.columns]
-    marked = docs.withColumn(MARK, row_mark())
-    once = marked.join(held(judged.select(F.col("mark").alias(MARK))), MARK, "left_anti")
-    again = judged.where("stays").select(F.col("mark").alias(MARK))
+    name = unused(docs, "mark")
+    marked = docs.withColumn(name, row_mark())
+    once = marked.join(held(judged.select(F.col("mark").alias(name))), name, "left_anti")
+    again = judged.where("stays").select(F.col("mark").alias(name))
     if not again.isEmpty():
-        once = once.unionByName(marked.join(held(again), MARK, "left_semi").dropDuplicates([MARK]))
+        once = once.unionByName(marked.join(held(again), name, "left_semi").dropDuplicates([name]))
     return once.select(*own)
 
 

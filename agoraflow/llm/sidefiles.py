@@ -1,12 +1,11 @@
 """Sets of row numbers, one small file for each task that wrote the rows.
 
-A row's number is the number of its task times 2^32 plus its place. Which rows a later pass is to take is told by files
+A row's number is the number of its task times 2^33 plus its place. Which rows a later pass is to take is told by files
 that it opens by task number, so that wide rows need not be shuffled to meet the choice.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,23 +14,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agoraflow.llm.shared import staged
+from agoraflow.llm.shared import open_file, staged, store_of, whole_file
+
+
+TASK_BITS = 33
 
 
 def write_numbers(numbers: DataFrame, folder: str) -> None:
     """Write the distinct numbers in the only column of `numbers`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
-        store.create_dir(root, recursive=True)
         at, held = None, []
 
         def close() -> None:
             if at is not None:
-                own = f"{root}/{at}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(own, compression=None) as out:
-                    out.write(np.concatenate(held).tobytes())
-                store.move(own, f"{root}/{at}")  # any attempt's file is whole and the same
+                body = np.concatenate(held).tobytes()
+                whole_file(folder, f"{at}", pa.compress(body, "zstd", asbytes=True), len(body))
 
         for batch in batches:
             task, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -43,15 +41,14 @@ def write_numbers(numbers: DataFrame, folder: str) -> None:
         close()
         yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
 
-    rows = numbers.toDF("n").distinct().select(F.shiftright("n", 32).alias("task"), "n")
+    rows = numbers.toDF("n").distinct().select(F.shiftright("n", TASK_BITS).alias("task"), "n")
     parts = max(12, int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     staged(rows.repartition(parts, "task").sortWithinPartitions("task", "n").mapInArrow(run, "done int"), "files")
 
 
 def read_numbers(folder: str, task: int) -> list[int]:
     """The numbers of a task; none if no file names it."""
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = store_of(folder)
     if store.get_file_info(f"{root}/{task}").type == fs.FileType.NotFound:
         return []
-    with store.open_input_stream(f"{root}/{task}", compression=None) as file:
-        return np.frombuffer(file.read(), np.int64).tolist()
+    return np.frombuffer(open_file(folder, f"{task}"), np.int64).tolist()

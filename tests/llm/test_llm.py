@@ -455,8 +455,9 @@ def near_copies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("batch", [10000, 3])
-def test_jaccard_links(spark, batch):
+@pytest.mark.parametrize(("batch", "tile"), [(10000, 2048), (3, 4)])
+def test_jaccard_links(spark, monkeypatch, batch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         rows = EDGES + [(20 + i, t) for i, t in near_copies(150, 7)]
@@ -466,6 +467,37 @@ def test_jaccard_links(spark, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
 
 
+def test_jaccard_links_come_out_of_trees(spark, monkeypatch):
+    found, rounds = jaccard.traversed, []
+
+    def counted(rows, full):
+        out = found(rows, full)
+        rounds.append((full, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "traversed", counted)
+    docs = documents(spark, [(i, t) for i, t in near_copies(120, 13)])
+    linked = jaccard.link_documents(docs).select("component_id").distinct().count()
+    assert [full for full, _ in rounds] == [False, True] and sum(n for _, n in rounds) >= 120 - linked - 40 and linked < 100
+    monkeypatch.setattr(jaccard, "traversed", lambda rows, full: found(rows.limit(0), full))
+    texts = docs.select("text").distinct().count()
+    assert jaccard.link_documents(docs).select("component_id").distinct().count() >= texts - 5  # without trees only equal sets are joined
+
+
+def test_shingles_are_those_of_the_words():
+    texts = ["A b\x0bc D e f", "a B c d E f", "", None, " x ", "é É ü", "a b c d e " * 3, "w" * 300 + " q"]
+    sets = jaccard.shingle_sets(texts)
+    words = [(t or "").encode().lower().split() for t in texts]
+    want = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    assert [len(s) for s in sets] == [len(w) for w in want] and all((np.diff(s.astype(object)) > 0).all() for s in sets)
+    assert [[len(np.intersect1d(a, b)) for a in sets] for b in sets] == [[len(a & b) for a in want] for b in want]
+
+
+def test_jaccard_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x"), (2, "a b c", 6, "y")], "doc_id long, text string, mark int, _mark string")
+    assert [tuple(r) for r in jaccard.keep_one(docs).collect()] == [(1, "a b c", 5, "x")]
+
+
 def test_jaccard_keeps_one(spark):
     rows = [(5, "a b c d e f"), (3, "A b c d e f"), (3, "A b c d e f"), (7, "x y"), (None, "x y"), (8, ""), (8, ""), (9, None), (10, "p q r s t u v")]
     kept = jaccard.keep_one(documents(spark, rows))

@@ -1,13 +1,14 @@
 """Language-model scoring by Brown class-based bigrams.
 
-Counts come from all training documents. Every word that occurs SINGLY times or more in them is a unit of its own;
-words seen once stand for those never seen and form a unit with the words that end alike, of which there are at most
-GROUPS. Exchange clustering moves units between CLASSES classes while that raises the likelihood of the class bigrams:
-first, on the driver, frequent words and groups of all others, which gives each word its first class; then all units,
-in rounds over buckets of the sparse word bigrams, until a sweep raises the likelihood by less than LEAST_GAIN nats a
-token. Within a round, units of a turn move at once by gains that are exact from HEAVY occurrences on and taken count by
-count below; moves that together do not raise the exact likelihood are undone and every fourth of them is tried. P(word | previous) = P(class | previous class) * P(word | class): transitions are smoothed with class
-frequencies, emissions by adding 0.5 with one unknown word for each class, so the model sums to one.
+Every training word is in one class. The UNITS most frequent words and the end are clustered on the driver by exchange: a
+word moves to the class that raises the likelihood of the class bigrams most, until none moves. All other words follow
+in distributed sweeps: each word's neighbours are gathered by class, and the word goes to its best class by the same
+likelihood; the first sweep knows the classes of frequent words alone, those after it the classes of all words. A sweep
+that does not raise the exact likelihood is undone and ends the exchange. P(word | previous) = P(class | previous class) *
+P(word | class): transitions are smoothed with class frequencies, emissions by adding 0.5, and one word stands for those
+never seen, in the class that holds most words seen once; so the model sums to one over all words and the end.
+
+What is gathered are the counts and neighbours of all training words; a class table has a fixed size.
 
 Defined results: null and empty texts have one token, the end; a null id counts as the empty string in the fold and
 stays null; repeated rows are scored alike and counted as often as they occur; without training tokens every
@@ -16,41 +17,31 @@ probability is that of an unknown word among none; an empty table gives an empty
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from agoraflow.llm.blocks import BLOCK_WORDS, read_table, split_blocks, write_tables
-from agoraflow.llm.shared import freed, fresh_path, id_crc32, staged
+from agoraflow.llm.shared import dropped, freed, fresh_path, id_crc32, open_file, staged, trimmed, whole_file
 
-FREQUENT, GROUPS, CLASSES, PASSES = 5e-4, 1024, 64, 8
+UNITS, CLASSES, PASSES, SWEEPS = 2000, 64, 8, 2
 #: Weight of class frequencies in smoothed transitions, in tokens.
 PRIOR = 20.0
 #: Rows of the unit-by-unit count matrix that travel together.
 STRIPE = 64
-SINGLY, HEAVY = 2, 64
-#: The exchange ends when a sweep over all units, in so many turns, gains no more, in nats a token.
-LEAST_GAIN, TURNS = 1e-3, 2
-#: Units whose exact gains are computed together.
-CHUNK = 64
-#: Training tokens for each bucket of bigrams: bounds the memory of a task.
-BUCKET_TOKENS = 2_000_000
-
-
-def ending_group(word: Column, groups: int = GROUPS) -> Column:
-    """The group of a word by its last two characters."""
-    return F.pmod(F.crc32(F.right(word, F.lit(2)).cast("binary")), F.lit(groups)).cast("int")
+#: Words from which on gains are exact; words whose exact gains are computed together; words gathered in one task.
+HEAVY, CHUNK, BUCKET_WORDS = 64, 64, 50_000
+#: The class of words that have none yet.
+NONE = 255
 
 
 def bigram_counts(docs: DataFrame, folder: str, units: int) -> np.ndarray:
-    """How often a unit follows another in documents with flag, over all blocks; each document starts after the end."""
+    """How often a unit directly follows another in documents with flag, over all blocks; each document starts after the end."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, at, unit = None, None, None
@@ -61,7 +52,8 @@ def bigram_counts(docs: DataFrame, folder: str, units: int) -> np.ndarray:
                 if total is None:
                     total = np.zeros(units * units, np.int64)
                 own = unit[np.frombuffer(words, np.uint32)].astype(np.int64)
-                pairs, n = np.unique(np.concatenate([own[-1:], own[:-1]]) * units + own, return_counts=True)
+                left = np.concatenate([own[-1:], own[:-1]])
+                pairs, n = np.unique((left * units + own)[(left >= 0) & (own >= 0)], return_counts=True)
                 total[pairs] += n
         if total is not None:
             for start in range(0, units, STRIPE):
@@ -147,7 +139,7 @@ def likelihood(table: np.ndarray) -> float:
 
 
 def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The best class for each of some units by their bigrams with classes, all other units staying where they are."""
+    """The best class for each of some units by their bigrams with classes, all other units staying where they are. own: how often a unit follows itself."""
     table, total, seen, place = table.astype(np.float64), after.sum(1), before.sum(1), np.arange(len(of))
     r, l = after.copy(), before.copy()  # noqa: E741
     r[place, of] -= own
@@ -178,267 +170,247 @@ def best_classes(after: np.ndarray, before: np.ndarray, own: np.ndarray, of: np.
     return np.where(gain[place, best] > gain[place, of] + 1e-9, best, of)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    return pa.compress(b"".join(x.astype("<u4").tobytes() for x in columns), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, size: int) -> np.ndarray:
-    """Three rows: left and right units and how often they meet."""
-    return np.frombuffer(pa.decompress(data, 12 * size, "zstd", asbytes=True), "<u4").reshape(3, -1) if size else np.zeros((3, 0), "<u4")
+def nearest_classes(after: np.ndarray, before: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The best class for words that have none yet; the largest class where nothing is known of a word's neighbours."""
+    more = lambda x: _xlogx(x + 1) - _xlogx(x)
+    d, mass_l, mass_r = more(table), table.sum(1), table.sum(0)
+    gain = after @ d.T + before @ d - after.sum(1)[:, None] * more(mass_l) - before.sum(1)[:, None] * more(mass_r)
+    return (gain + 1e-9 * mass_l / max(mass_l.sum(), 1.0)).argmax(1)
 
 
-def _merged(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key = left.astype(np.uint64) << np.uint64(32) | right
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    n = np.add.reduceat(n[order].astype(np.int64), first) if len(key) else n
-    return (key[first] >> np.uint64(32)).astype(np.uint32), key[first].astype(np.uint32), n
+class Corpus:
+    """Documents as numbers of their blocks' words, with files that tell each block the count, the place and the class of its words."""
 
+    def __init__(self, docs: DataFrame, tables: str, buckets: int, classes: int):
+        self.docs, self.tables, self.buckets, self.classes = docs, tables, buckets, classes
 
-class Pairs:
-    """Word bigrams in a file for each bucket of left units, in sections by bucket of right units: a unit's bigrams with
-    those after it are a file, with those before it a section of every file. A unit's bucket is its number mod buckets."""
-
-    def __init__(self, docs: DataFrame, tables: str, folder: str, buckets: int):
-        self.folder, self.buckets, self.spark = folder, buckets, docs.sparkSession
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, unit, held = None, None, []
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                if held:
-                    key, n = np.unique(np.concatenate(held), return_counts=True)
-                    held.clear()
-                    left, right = key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)
-                    bucket = (left % np.uint64(buckets)).astype(np.int64)
-                    order, cut = np.argsort(bucket, kind="stable"), np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
-                    some = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-                    parts = [order[cut[b] : cut[b + 1]] for b in some]
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "size": pa.array([len(x) for x in parts], pa.int32()), "data": pa.array([_packed(left[x], right[x], n[x]) for x in parts], pa.binary())})
+    def table(self, folder: str) -> np.ndarray:
+        """Class bigrams of the documents with flag, by the classes in a folder."""
+        classes = self.classes
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, of, total = None, None, np.zeros(classes * classes, np.int64)
             for batch in batches:
                 for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if block != at:
-                        yield from flush()
-                        at, unit = block, read_table(tables, block)["id"].to_numpy().astype(np.uint64)
-                    own = unit[np.frombuffer(words, np.uint32)]
-                    held.append(np.concatenate([own[-1:], own[:-1]]) << np.uint64(32) | own)
-            yield from flush()
-
-        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, root = fs.FileSystem.from_uri(folder)
-            store.create_dir(root, recursive=True)
-            at, held, done = None, [], []
-
-            def close() -> None:
+                        at, of = block, np.frombuffer(open_file(folder, block), np.uint8)
+                    k = of[np.frombuffer(words, np.uint32)].astype(np.int64)
+                    total += np.bincount(np.concatenate([k[-1:], k[:-1]]) * classes + k, minlength=classes * classes)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(range(classes), pa.int32()), "counts": pa.array([x.tolist() for x in total.reshape(classes, -1)], pa.list_(pa.int64()))})
+
+        rows = self.docs.where("flag").select("block", "words").mapInArrow(run, "at int, counts array<long>")
+        summed = rows.groupBy("at").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(classes)]).alias("counts"))
+        out = np.zeros((classes, classes))
+        for row in summed.collect():  # a row for each class
+            out[row["at"]] = row["counts"]
+        return out
+
+    def sweep(self, folder: str | None, first: np.ndarray, table: np.ndarray, to: str) -> None:
+        """Write every block's classes into the folder `to`: those of the clustered units stay, every other word goes to its best one."""
+        tables, buckets, classes = self.tables, self.buckets, self.classes
+        kind = "block string, bucket int, data binary"
+
+        def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "bucket", "data"])
+
+        def classed(block: str, unit: np.ndarray) -> np.ndarray:
+            if folder is not None:
+                return np.frombuffer(open_file(folder, block), np.uint8)
+            return np.where(unit >= 0, first[unit], NONE).astype(np.uint8)
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held, unit, place, of, local, mine = None, [], None, None, None, None, None
+
+            def told() -> Iterator[pa.RecordBatch]:
                 if at is None:
                     return
-                left, right, n = _merged(*np.concatenate([_unpacked(d, s) for d, s in held], 1)) if held else np.zeros((3, 0), np.int64)
+                number = mine
+                word, before, after = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]).astype(np.int64) for k in range(3))
+                held.clear()
+                order = np.argsort(word, kind="stable")
+                word, before, after = word[order], before[order].astype(np.uint8), after[order].astype(np.uint8)
+                count = np.bincount(word, minlength=len(number))
+                start = np.cumsum(count) - count
+                bucket = place[number] % buckets
+                dealt = np.argsort(bucket, kind="stable")
+                for own in np.split(dealt, np.flatnonzero(np.diff(bucket[dealt])) + 1) if len(dealt) else ():
+                    n = count[own]
+                    end = np.cumsum(n)
+                    some = np.repeat(start[own] - end + n, n) + np.arange(end[-1])
+                    head = np.stack([number[own], place[number[own]] // buckets, n, of[number[own]]]).astype(np.uint32)
+                    yield rows_of([(at, int(bucket[own[0]]), np.uint32(len(own)).tobytes() + head.tobytes() + before[some].tobytes() + after[some].tobytes())])
+
+            for batch in batches:
+                for block, flag, words in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    if block != at:
+                        yield from told()
+                        at, whole = block, read_table(tables, block)
+                        unit, place = whole["unit"].to_numpy(), whole["id"].to_numpy()
+                        of = classed(block, unit)
+                        local = np.full(len(unit), -1, np.int64)
+                        mine = np.flatnonzero((unit < 0) & (place >= 0))
+                        local[mine] = np.arange(len(mine))
+                    if flag:
+                        own = np.frombuffer(words, np.uint32)
+                        k = of[own]
+                        word = local[own]
+                        here = np.flatnonzero(word >= 0)  # never the end, which is a unit
+                        held.append((word[here], np.concatenate([k[-1:], k[:-1]])[here], np.concatenate([k[1:], k[:1]])[here]))
+            yield from told()
+            trimmed()
+
+        def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, []
+
+            def told() -> Iterator[pa.RecordBatch]:
+                if not held:
+                    return
+                size = 1 + max(int(h[1][1].max()) for h in held)
+                after, before, own = (np.zeros(size * classes, np.float32) for _ in range(3))
+                old = np.full(size, NONE, np.int64)
+                for _, head, b, a in held:
+                    old[head[1]] = head[3]
+                    w = np.repeat(head[1].astype(np.int64), head[2])
+                    for out, k in ((before, b), (after, a)):
+                        out += np.bincount((w * classes + k)[k < classes], minlength=size * classes).astype(np.float32)
+                after, before = after.reshape(size, -1), before.reshape(size, -1)
+                to = np.empty(size, np.uint8)
+                for i in range(0, size, 4096):
+                    part = slice(i, i + 4096)
+                    if folder is None:
+                        to[part] = nearest_classes(after[part].astype(np.float64), before[part].astype(np.float64), table)
+                    else:
+                        to[part] = best_classes(after[part].astype(np.float64), before[part].astype(np.float64), np.zeros(len(to[part])), np.where(old[part] == NONE, 0, old[part]), table)
+                for block, head, _, _ in held:
+                    yield rows_of([(block, at, head[0].tobytes() + to[head[1]].tobytes())])
                 held.clear()
-                to = right.astype(np.int64) % buckets
-                order, sizes = np.argsort(to, kind="stable"), np.bincount(to, minlength=buckets)
-                cut = np.r_[0, np.cumsum(sizes)]
-                parts = [order[cut[b] : cut[b + 1]] for b in range(buckets)]
-                data = [_packed(left[x], right[x], n[x]) if len(x) else b"" for x in parts]
-                own = f"{root}/{at}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(own, compression=None) as out:
-                    out.write(np.array([sizes, [len(x) for x in data]], "<i8").tobytes() + b"".join(data))
-                store.move(own, f"{root}/{at}.pairs")
-                done.append(at)
 
             for batch in batches:
-                for bucket, size, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for block, bucket, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     if bucket != at:
-                        close()
+                        yield from told()
                         at = bucket
-                    if size:
-                        held.append((data, size))
-            close()
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(done, pa.int32())})
-
-        parts = docs.where("flag").select("block", "words").mapInArrow(count, "bucket int, size int, data binary")
-        every = self.spark.range(buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).alias("size"), F.lit(None).cast("binary").alias("data"))
-        staged(parts.unionByName(every).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write, "bucket int"), "lm-pairs")
-        freed(self.spark)
-
-    @staticmethod
-    def read(store: fs.FileSystem, root: str, buckets: int, bucket: int, section: int | None = None) -> list[np.ndarray]:
-        with store.open_input_file(f"{root}/{bucket}.pairs") as raw:
-            sizes, lengths = np.frombuffer(raw.read(16 * buckets), "<i8").reshape(2, -1)
-            if section is not None:
-                raw.seek(int(16 * buckets + lengths[:section].sum()))
-                return [_unpacked(raw.read(int(lengths[section])), int(sizes[section]))]
-            return [_unpacked(raw.read(int(m)), int(s)) for s, m in zip(sizes, lengths, strict=True)]
-
-    def _each(self, work, kind: str) -> DataFrame:
-        """work(store, root, bucket) for every bucket, whose rows come back."""
-        folder = self.folder
+                    n = int(np.frombuffer(data, np.uint32, 1)[0])
+                    head = np.frombuffer(data, np.uint32, 4 * n, 4).reshape(4, n)
+                    sides = np.frombuffer(data, np.uint8, -1, 4 + 16 * n)
+                    held.append((block, head, sides[: len(sides) // 2], sides[len(sides) // 2 :]))
+            yield from told()
+            trimmed()
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, of = None, None
+
+            def close() -> None:
+                if at is not None:
+                    whole_file(to, at, pa.compress(of.tobytes(), "zstd", asbytes=True), len(of))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            store, root = fs.FileSystem.from_uri(folder)
             for batch in batches:
-                for bucket in batch.column(0).to_pylist():
-                    yield work(store, root, bucket)
-
-        return self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(run, kind)
-
-    def table(self, path: str, classes: int) -> np.ndarray:
-        """Class bigrams, with the classes of units in a file."""
-        buckets = self.buckets
-
-        def work(store, root, bucket):
-            of, out = read_classes(path), np.zeros(classes * classes)
-            for left, right, n in Pairs.read(store, root, buckets, bucket):
-                out += np.bincount(of[left].astype(np.int64) * classes + of[right], n, classes * classes)
-            return pa.RecordBatch.from_pydict({"data": [out.tobytes()]})
-
-        total = np.zeros(classes * classes)
-        for row in self._each(work, "data binary").toLocalIterator():  # a table of classes for each bucket
-            total += np.frombuffer(row["data"])
-        return total.reshape(classes, classes)
-
-    def moved(self, path: str, table: np.ndarray, turns: int, turn: int) -> list:
-        """Which units of a turn move, and to which class: packed numbers of units and of classes."""
-        buckets, classes = self.buckets, len(table)
-
-        def work(store, root, bucket):
-            of = read_classes(path)
-            units = np.arange(bucket, len(of), buckets)
-            mine = (units // buckets % turns == turn) & (of[units] < classes)
-            number = np.full(len(units), -1, np.int64)
-            number[mine] = np.arange(mine.sum())
-            units = units[mine]
-            after, before, own = np.zeros(len(units) * classes), np.zeros(len(units) * classes), np.zeros(len(units))
-            for left, right, n in Pairs.read(store, root, buckets, bucket):
-                at = number[left // buckets]
-                keep = at >= 0
-                np.add.at(after, at[keep] * classes + of[right[keep]], n[keep])
-                same = keep & (left == right)
-                np.add.at(own, at[same], n[same])
-            for other in range(buckets):
-                for left, right, n in Pairs.read(store, root, buckets, other, bucket):
-                    at = number[right // buckets]
-                    keep = at >= 0
-                    np.add.at(before, at[keep] * classes + of[left[keep]], n[keep])
-            old = of[units].astype(np.int64)
-            to = best_classes(after.reshape(-1, classes), before.reshape(-1, classes), own, old, table)
-            some = to != old
-            return pa.RecordBatch.from_pydict({"unit": [units[some].astype("<u4").tobytes()], "class": [to[some].astype("<u2").tobytes()]})
-
-        return self._each(work, "unit binary, class binary").collect()  # six bytes for each unit that moves
-
-
-def write_classes(folder: str, of: np.ndarray) -> str:
-    """The class of each unit, two bytes each, as a file that tasks read; returns its path."""
-    store, root = fs.FileSystem.from_uri(folder)
-    name = f"{uuid.uuid4().hex}.classes"
-    with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-        out.write(of.astype("<u2").tobytes())
-    return f"{folder}/{name}"
-
-
-def read_classes(path: str) -> np.ndarray:
-    store, place = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(place, compression=None) as raw:
-        return np.frombuffer(raw.read(), "<u2")
-
-
-def exchange_all(pairs: Pairs, of: np.ndarray, classes: int, tokens: int) -> tuple[np.ndarray, np.ndarray, str]:
-    """Exchange of all units from first classes on: classes, the table of class bigrams and the classes' file."""
-    spread = np.where(of < classes, np.random.default_rng(1).integers(classes, size=len(of)), of)
-    starts = [(s, p, pairs.table(p, classes)) for s in (of, spread.astype(of.dtype)) for p in [write_classes(pairs.folder, s)]]
-    of, path, table = max(starts, key=lambda x: likelihood(x[2]))  # endings that tell nothing are no start
-    gained = np.inf
-    while gained > LEAST_GAIN * tokens:
-        gained = 0.0
-        for turn in range(TURNS):
-            rows = pairs.moved(path, table, TURNS, turn)
-            unit, to = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("unit", "<u4"), ("class", "<u2")))
-            every = 1
-            while every <= len(unit):
-                then = of.copy()
-                then[unit[::every]] = to[::every]
-                there = write_classes(pairs.folder, then)
-                counts = pairs.table(there, classes)
-                gain = likelihood(counts) - likelihood(table)
-                if gain > 0:
-                    of, path, table, gained = then, there, counts, gained + gain
-                    break
-                every *= 4  # too many moved at once
-    return of, table, path
-
-
-def score_documents(docs: DataFrame, frequent: float = FREQUENT, groups: int = GROUPS, classes: int = CLASSES, block_words: int = BLOCK_WORDS) -> DataFrame:
+                for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if block != at:
+                        close()
+                        at, unit = block, read_table(tables, block)["unit"].to_numpy()
+                        of = np.where(unit >= 0, first[unit], NONE).astype(np.uint8)
+                    if data:
+                        n = len(data) // 5
+                        of[np.frombuffer(data, np.uint32, n)] = np.frombuffer(data, np.uint8, n, 4 * n)
+            close()
+            yield pa.RecordBatch.from_pydict({"done": pa.array([1], pa.int32())})
+
+        gathered = self.docs.select("block", "flag", "words").mapInArrow(gather, kind).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        decided = staged(gathered.mapInArrow(decide, kind), "lm-decided")
+        every = self.docs.select("block").distinct().select("block", F.lit(None).cast("binary").alias("data"))
+        tasks = max(12, int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        staged(decided.select("block", "data").unionByName(every).repartition(tasks, "block").sortWithinPartitions("block").mapInArrow(write, "done int"), "lm-classes")
+        dropped(self.docs.sparkSession, decided)
+        freed(self.docs.sparkSession)
+
+
+def exchange_all(corpus: Corpus, first: np.ndarray, counts: np.ndarray, sweeps: int) -> tuple[str, np.ndarray]:
+    """The folder with the classes of all words, and the table of class bigrams."""
+    spark = corpus.docs.sparkSession
+    member = np.eye(corpus.classes)[first]
+    folder, table = None, member.T @ counts @ member
+    for _ in range(max(1, sweeps)):
+        to = fresh_path(spark, "lm-of")
+        corpus.sweep(folder, first, table, to)
+        new = corpus.table(to)
+        if folder is not None and likelihood(new) <= likelihood(table):
+            break  # words that moved together were worse off
+        folder, table = to, new
+    return folder, table
+
+
+def score_documents(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, sweeps: int = SWEEPS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs has doc_id, text and flag (true: train on it). Returns doc_id, flag, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession
     split = staged(split_blocks(docs, block_words), "lm-blocks")
     listed = split.where("word IS NOT NULL").select("block", "number", "word", "weight")
     counts = staged(listed.groupBy("word").agg(F.sum("weight").alias("c")).where("c > 0"), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least = max(1, int(np.ceil(n * frequent)))
-    top = [r["word"] for r in counts.where((F.col("c") >= least) | (F.col("word") == "")).orderBy(F.desc("c"), "word").collect()]  # at most 1 / frequent words and the end
-    unit = {w: groups + i for i, w in enumerate(top)}
-    units = groups + len(top)
-    known = spark.createDataFrame(list(unit.items()), "word string, own int")
-    # the end and frequent words have units of their own in the first exchange; that table has a fixed bound
-    group = ending_group(F.col("word"), groups)
-    folder = fresh_path(spark, "lm-tables")
-    blocks = split.select("block").distinct().count()
-    buckets = max(1, min(-(-n // BUCKET_TOKENS), 4096))
-    base = -(-groups // buckets) * buckets
-    apart = counts.where((F.col("c") >= SINGLY) | (F.col("word") == "")).withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
-    apart = apart.withColumn("id", F.lit(base) + F.col("bucket") + F.lit(buckets) * (F.row_number().over(W.partitionBy("bucket").orderBy("word")) - 1)).drop("bucket")
-    rare = counts.where((F.col("c") < SINGLY) & (F.col("word") != "")).withColumn("id", group.cast("long"))
-    known_too = apart.unionByName(rare).join(F.broadcast(known), "word", "left").withColumn("unit", F.coalesce("own", group)).drop("own")
-    numbered = staged(known_too, "lm-numbers")
-    tables = listed.join(numbered, "word", "left").withColumns({"c": F.coalesce("c", F.lit(0)), "unit": F.coalesce("unit", group), "id": F.coalesce("id", group.cast("long")).cast("int")})
-    write_tables(tables, ["c", "unit", "id"], folder, blocks)
+    top = [r["word"] for r in counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(units).collect()]  # the words clustered on the driver
+    known = spark.createDataFrame([(w, i) for i, w in enumerate(["", *top])], "word string, unit int")
+    buckets = max(1, -(-v // BUCKET_WORDS))
+    places = counts.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)))
+    places = places.withColumn("id", (F.col("bucket") + F.lit(buckets) * (F.row_number().over(W.partitionBy("bucket").orderBy("word")) - 1)).cast("long")).drop("bucket")
+    places = staged(places.join(F.broadcast(known), "word", "left"), "lm-places")
+    tables = fresh_path(spark, "lm-tables")
+    told = listed.join(places, "word", "left").withColumns({"c": F.coalesce("c", F.lit(0)), "id": F.coalesce("id", F.lit(-1).cast("long")), "unit": F.coalesce("unit", F.lit(-1))})
+    write_tables(told, ["c", "id", "unit"], tables, split.select("block").distinct().count())
     freed(spark)  # lets Spark drop shuffle files that nothing refers to any more
-    docs_of = split.where("words IS NOT NULL")
-    first = exchange(bigram_counts(docs_of, folder, units), classes)
-
-    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"unit": [batch.column(0).to_numpy().astype("<u4").tobytes()], "class": [first[batch.column(1).to_numpy()].astype("<u2").tobytes()]})
-
-    last = numbered.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    of = np.full(max(base, last + 1), classes, np.uint16)  # two bytes for each unit; numbers without a unit have no class
-    of[:groups] = first[:groups]
-    for row in numbered.where(F.col("id") >= base).select("id", "unit").mapInArrow(begun, "unit binary, class binary").toLocalIterator():
-        of[np.frombuffer(row["unit"], "<u4")] = np.frombuffer(row["class"], "<u2")
-    per_group = numbered.where(F.col("id") < base).groupBy("id").agg(F.count(F.lit(1)).alias("v")).collect()  # a row for each group
-    of, table, path = exchange_all(Pairs(docs_of, folder, fresh_path(spark, "lm-bigrams"), buckets), of, classes, n)
-    mass, types = table.sum(1), np.bincount(of[base:], minlength=classes + 1)[:classes].astype(np.float64)
-    for r in per_group:
-        types[of[r["id"]]] += r["v"]
+    docs_of = split.where("words IS NOT NULL").select("block", "doc_id", "flag", "words")
+    matrix = bigram_counts(docs_of, tables, len(top) + 1)
+    first = exchange(matrix, classes)
+    folder, table = exchange_all(Corpus(docs_of, tables, buckets, classes), first, matrix, sweeps)
+    kinds, singles = class_types(docs_of.select("block").distinct(), tables, folder, classes)
+    rare = int(singles.argmax())  # the class of the unknown word
+    mass = table.sum(1)
     share = (mass + 0.5) / (mass.sum() + 0.5 * classes)
     step = np.log10((table + PRIOR * share) / (table.sum(1, keepdims=True) + PRIOR))
-    emit = np.log10(mass + 0.5 * (types + 1))
+    emit = np.log10(np.maximum(mass + 0.5 * (kinds + (np.arange(classes) == rare)), 0.5))
     model = spark.sparkContext.broadcast((step, emit))  # sizes fixed by the parameters
     norm = float(np.log10(n + 0.5 * (v + 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (step, emit), of = model.value, read_classes(path)
-        at = c = cls = log_c = None
+        step, emit = model.value
+        at = c = of = log_c = None
         for batch in batches:
             out = []
             for block, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if block != at:
-                    held, at = read_table(folder, block), block
-                    c, cls = held["c"].to_numpy(), of[held["id"].to_numpy()].astype(np.int64)
+                    at, c = block, read_table(tables, block)["c"].to_numpy()
+                    of = np.frombuffer(open_file(folder, block), np.uint8).astype(np.int64)
+                    of = np.where(of == NONE, rare, of)
                     log_c = np.log10(c + 0.5)
                 own = np.frombuffer(words, np.uint32)
-                k = cls[own]
+                k = of[own]
                 logs = float(log_c[own].sum())
                 out.append((len(own), int((c[own] > 0).sum()), logs - len(own) * norm, logs - float(emit[k].sum()) + float(step[np.concatenate([k[-1:], k[:-1]]), k].sum())))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *(pa.array(x, t) for x, t in zip(cols, [pa.int64(), pa.int64(), pa.float64(), pa.float64()], strict=True))], names=["doc_id", "flag", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = docs_of.select("block", "doc_id", "flag", "words").mapInArrow(score, "doc_id long, flag boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = docs_of.mapInArrow(score, "doc_id long, flag boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumns({"train_tokens": F.lit(int(n)).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})
 
 
+def class_types(blocks: DataFrame, tables: str, folder: str, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many training words each class has, and how many of them occur once, from every block's words; a word counts by its place once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                whole, of = read_table(tables, block), np.frombuffer(open_file(folder, block), np.uint8)
+                place, c = whole["id"].to_numpy(), whole["c"].to_numpy()
+                some = place >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(place[some]), pa.array(of[some].astype(np.int32)), pa.array(c[some] == 1)], names=["id", "of", "once"])
+
+    parts = max(1, min(blocks.count(), 4096))
+    words = blocks.repartition(parts, "block").mapInArrow(run, "id long, of int, once boolean").groupBy("id").agg(F.first("of").alias("of"), F.first("once").alias("once"))
+    kinds, singles = np.zeros(classes), np.zeros(classes)
+    for row in words.groupBy("of").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("once").cast("long")).alias("s")).collect():  # a row for each class
+        kinds[row["of"]], singles[row["of"]] = row["n"], row["s"]
+    return kinds, singles
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"), (F.pmod(id_crc32(F.col("doc_id")), F.lit(5)) != 1).alias("flag"))

@@ -1,4 +1,4 @@
-"""Splitting many texts at once by the public split pattern of byte-level vocabularies.
+"""Splitting many texts at once: by the public split pattern of byte-level vocabularies, or into words.
 
 The pattern is applied to arrays of code points: runs of letters, of numbers, of white space and of all else are found
 together for a whole slice of texts, and pieces begin where the pattern's matches do. Equal pieces are found by a hash
@@ -120,6 +120,42 @@ def split(texts: list[str]) -> Split:
     return Split([whole[a : a + s] for a, s in zip(at[where].tolist(), size[where].tolist(), strict=True)], which, counts)
 
 
+@functools.lru_cache(maxsize=1)
+def _bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes separate words, and every byte with A-Z in lower case."""
+    separators, lower = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+    separators[[9, 10, 11, 12, 13, 32]] = True
+    lower[65:91] += 32
+    return separators, lower
+
+
+class Words(NamedTuple):
+    """Words of a slice in UTF-8, A-Z in lower case: the distinct ones, which of them each place has, and how many each text has."""
+
+    distinct: list[bytes]
+    which: np.ndarray
+    counts: np.ndarray
+
+
+def words(texts: list[str]) -> Words:
+    """The words of some texts."""
+    separators, lower = _bytes()
+    data = [t.encode() for t in texts]
+    code = np.frombuffer(b" ".join(data), np.uint8)
+    apart = separators[code]
+    first = np.flatnonzero(~apart & np.append(True, apart[:-1])[: len(code)])
+    if not len(first):
+        return Words([], np.zeros(0, np.int64), np.zeros(len(texts), np.int64))
+    stop = np.flatnonzero(apart & np.append(False, ~apart[:-1]))
+    size = np.append(stop, len(code))[: len(first)] - first
+    at = np.cumsum(size) - size
+    letters = lower[code[~apart]]
+    where, which = distinct(letters, at, size)
+    spelt = letters.tobytes()
+    ends = np.searchsorted(first, np.cumsum([len(d) + 1 for d in data]))
+    return Words([spelt[a : a + s] for a, s in zip(at[where].tolist(), size[where].tolist(), strict=True)], which, np.diff(ends, prepend=0))
+
+
 def cut(text: str, limit: int = SLICE) -> list[str]:
     """A text in parts of about `limit` characters, cut only before white space that follows other text, where no piece goes on."""
     out, at, n = [], 0, len(text)

@@ -53,6 +53,16 @@ def store_of(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
+def moved(store: fs.FileSystem, own: str, path: str) -> None:
+    """Give a file its name, unless another attempt's file has it."""
+    try:
+        store.move(own, path)
+    except OSError:
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(own)
+
+
 def whole_file(folder: str, name: str, data: bytes, size: int) -> str:
     """Write a file that appears under its name only when whole: 8 bytes with the size before compression, then data.
 
@@ -63,12 +73,7 @@ def whole_file(folder: str, name: str, data: bytes, size: int) -> str:
     own, path = f"{root}/{name}.{uuid.uuid4().hex}.tmp", f"{root}/{name}"
     with store.open_output_stream(own, compression=None) as out:
         out.write(size.to_bytes(8, "little") + data)
-    try:
-        store.move(own, path)
-    except OSError:
-        if store.get_file_info(path).type == fs.FileType.NotFound:
-            raise
-        store.delete_file(own)
+    moved(store, own, path)
     return f"{folder}/{name}"
 
 

@@ -39,7 +39,7 @@ EDGES = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one"), (5, "one"),
 def test_brown_base_and_fold(spark):
     rows = EDGES + [(100 + i, t) for i, t in enumerate(random_texts(60))]
     docs = spark.createDataFrame([(i, t, zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1) for i, t in rows], "doc_id long, text string, flag boolean")
-    out = brown.score_documents(docs, frequent=0.005, groups=16, classes=4, block_words=150).collect()
+    out = brown.score_documents(docs, units=30, classes=4, block_words=150).collect()
     assert len(out) == len(rows)
     counts = Counter()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
@@ -74,10 +74,10 @@ def test_brown_exchange_finds_classes_and_raises_likelihood():
 
 def test_brown_classes_words_that_are_rare_and_end_alike(spark):
     rnd = random.Random(11)
-    kinds = [[f"{k}{i:03}zz" for i in range(300)] for k in "ab"]  # each far below the frequent words' share, all of one ending
+    kinds = [[f"{k}{i:03}zz" for i in range(300)] for k in "ab"]  # all of one ending, and most of them none of the units clustered on the driver
     texts = [" ".join(rnd.choice(kinds[i % 2]) for i in range(start, start + 60)) for start in (rnd.randrange(2) for _ in range(300))]
     docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, flag boolean")
-    out = brown.score_documents(docs, frequent=0.01, groups=16, classes=4, block_words=400).collect()
+    out = brown.score_documents(docs, units=60, classes=4, sweeps=4, block_words=400).collect()
     # the kind of a word tells the kind of the next, so half of its words: log10(2) a word
     assert sum(r.score - r.base_score for r in out) > 0.2 * sum(r.n_tokens for r in out)
 
@@ -96,6 +96,44 @@ def test_brown_best_classes_agree_with_the_likelihood():
         assert score(got[u]) >= max(map(score, range(classes))) - 1e-6
 
 
+def test_brown_scores_are_those_of_the_model_and_sum_to_one(spark):
+    texts = random_texts(40, 21, 5, 60)
+    known = sorted({w for t in texts for w in t.split()})
+    # each word after each of two contexts, and a word never seen: differences of scores are single probabilities
+    rows = [(i, t, True) for i, t in enumerate(texts)] + [(1000 + i, f"{known[3]} {w}", False) for i, w in enumerate([*known, "neverseen"])] + [(999, known[3], False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, flag boolean")
+    out = {r.doc_id: r for r in brown.score_documents(docs, units=40, classes=5, block_words=120).collect()}
+    counts = Counter(w for t in texts for w in [*t.split(), ""])
+    # P(w | c) * P(end | w) summed over w, plus P(end | c), is P of all texts of at most one more word; by the class of w, P(w) is c + 0.5 over a class's sum
+    ratio = {}
+    for i, w in enumerate(known):
+        ratio.setdefault(round(out[1000 + i].score - math.log10(counts[w] + 0.5), 9), []).append(w)
+    assert 1 < len(ratio) <= 5  # words of one class differ by their counts alone
+    assert sorted(w for ws in ratio.values() for w in ws) == known
+
+
+def test_brown_model_sums_to_one(spark, monkeypatch):
+    held = {}
+    log10 = np.log10
+    texts = random_texts(40, 22, 5, 60)
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, flag boolean")
+    types = brown.class_types
+    monkeypatch.setattr(brown, "class_types", lambda *a: held.setdefault("types", types(*a)))
+    every = brown.exchange_all
+    monkeypatch.setattr(brown, "exchange_all", lambda *a: held.setdefault("all", every(*a)))
+    out = brown.score_documents(docs, units=40, classes=5, block_words=120).collect()
+    (kinds, singles), (_, table) = held["types"], held["all"]
+    counts = Counter(w for t in texts for w in [*t.split(), ""])
+    assert kinds.sum() == len(counts) and singles.sum() == sum(c == 1 for c in counts.values())
+    assert table.sum() == sum(counts.values()) and (table.sum(0) == table.sum(1)).all()
+    mass = table.sum(1)
+    extra = np.arange(5) == singles.argmax()
+    emitted = (mass + 0.5 * kinds + 0.5 * extra) / (mass + 0.5 * (kinds + extra))
+    share = (mass + 0.5) / (mass.sum() + 2.5)
+    step = (table + brown.PRIOR * share) / (mass[:, None] + brown.PRIOR)
+    assert np.allclose((step * emitted).sum(1), 1) and sum(r.score for r in out) > sum(r.base_score for r in out) - 1e-6 and log10 is np.log10
+
+
 def test_brown_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, flag boolean")
     assert brown.score_documents(docs).count() == 0

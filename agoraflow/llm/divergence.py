@@ -2,11 +2,12 @@
 
 A document's histograms over character classes and over common words are compared with the mean histograms of its
 language by Jensen-Shannon distance; documents far from either are rejected. References come from all documents that
-pass the base rules. A language with fewer than MIN_REF_DOCS such documents is compared with the mean of all languages.
+pass the base rules: a language's mean with the mean of all languages added as REF_DOCS documents, so that the reference
+of a small language moves towards its own mean document by document.
 
 Defined results: null and empty texts have no words and fail the base rules; null lang is a language of its own;
 documents below the length guards never fail by distance (they fail the base rules below 50 words); repeated rows are
-judged alike; an empty table gives an empty result; other columns do not matter, names with the prefix _q_ excepted.
+judged alike; an empty table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ COMMON_WORDS = [
 CODES = "abcdefghijklmnopqrstuvwxyzABCDEF"
 CHAR_CLASSES = ["lower", "upper", "digit", "space", "mark", "symbol"]
 MARKS = r".,;:!?'\"()\-"
-MIN_CHARS, MIN_WORDS, MIN_REF_DOCS = 200, 50, 30
+MIN_CHARS, MIN_WORDS, REF_DOCS = 200, 50, 30
 #: Characters this far off fail alone; from LEAST_CHAR_DISTANCE on, common words decide: their squared distance may be
 #: WORD_DISTANCE squared plus WORD_NOISE over the number of words, as the distance of a fair sample falls with its size.
 MAX_CHAR_DISTANCE, LEAST_CHAR_DISTANCE, WORD_DISTANCE, WORD_NOISE = 0.26, 0.115, 0.13, 2.5
@@ -89,11 +90,11 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(figures: DataFrame) -> DataFrame:
-    """A row of mean histograms for each language with enough documents that pass the base rules, and one for all (_q_lang null, _q_all true)."""
+    """A row of sums of histograms for each language, over documents that pass the base rules, and one for all (_q_lang null, _q_all true)."""
     ok = figures.where(~F.col("_q_base_failed"))
-    mean = lambda name, n: F.array([F.avg(F.col(name)[i]) for i in range(n)]).alias(name.replace("_q_", "_q_ref_"))
-    aggs = [mean("_q_chars", len(CHAR_CLASSES)), mean("_q_common", len(COMMON_WORDS) + 1), F.count(F.lit(1)).alias("_q_docs")]
-    by = ok.groupBy(F.col("lang").alias("_q_lang")).agg(*aggs).where(F.col("_q_docs") >= MIN_REF_DOCS)
+    total = lambda name, n: F.array([F.sum(F.col(name)[i]) for i in range(n)]).alias(name.replace("_q_", "_q_ref_"))
+    aggs = [total("_q_chars", len(CHAR_CLASSES)), total("_q_common", len(COMMON_WORDS) + 1), F.count(F.lit(1)).alias("_q_docs")]
+    by = ok.groupBy(F.col("lang").alias("_q_lang")).agg(*aggs)
     return by.withColumn("_q_all", F.lit(False)).unionByName(ok.agg(*aggs).withColumns({"_q_lang": F.lit(None).cast("string"), "_q_all": F.lit(True)}))
 
 
@@ -107,19 +108,23 @@ def js_distance(p: Column, q: Column) -> Column:
 def judged(figures: DataFrame, refs: DataFrame) -> DataFrame:
     """figures with _q_char_distance, _q_word_distance and _q_kept. References are broadcast up to 1000 languages, joined by key beyond."""
     refs = staged(refs, "language-references")
-    overall = refs.where("_q_all").select(F.col("_q_ref_chars").alias("_q_any_chars"), F.col("_q_ref_common").alias("_q_any_common")).first()
-    per = refs.where("NOT _q_all").drop("_q_all", "_q_docs")
+    overall = refs.where("_q_all").first()
+    per = refs.where("NOT _q_all").drop("_q_all")
     few = per.count() <= 1000
     df = figures.join(F.broadcast(per) if few else per, figures["lang"].eqNullSafe(per["_q_lang"]), "left")
-    fallback = lambda name: F.array([F.lit(x) for x in overall[name] or []]).cast("array<double>")
-    df = df.withColumns({
-        "_q_char_distance": js_distance(F.col("_q_chars"), F.coalesce("_q_ref_chars", fallback("_q_any_chars"))),
-        "_q_word_distance": js_distance(F.col("_q_common"), F.coalesce("_q_ref_common", fallback("_q_any_common"))),
-    })
+    every = max(1, overall["_q_docs"])
+
+    def reference(name: str) -> Column:
+        means = [(x or 0.0) / every for x in overall[name]]
+        own = F.coalesce(F.col(name), F.array([F.lit(0.0)] * len(means)))
+        return F.transform(F.arrays_zip(own.alias("a"), F.array([F.lit(x) for x in means]).alias("b")), lambda z: (z["a"] + REF_DOCS * z["b"]) / (F.coalesce("_q_docs", F.lit(0)) + REF_DOCS))
+
+    df = df.withColumns({"_q_ref_chars": reference("_q_ref_chars"), "_q_ref_common": reference("_q_ref_common")})
+    df = df.withColumns({"_q_char_distance": js_distance(F.col("_q_chars"), F.col("_q_ref_chars")), "_q_word_distance": js_distance(F.col("_q_common"), F.col("_q_ref_common"))})
     short = (F.col("_q_n_chars") < MIN_CHARS) | (F.col("_q_n_words") < MIN_WORDS)
     chars, words = F.col("_q_char_distance"), F.col("_q_word_distance")
     far = (chars > MAX_CHAR_DISTANCE) | ((chars > LEAST_CHAR_DISTANCE) & (words * words > WORD_DISTANCE**2 + WORD_NOISE / F.col("_q_n_words")))
-    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & (short | ~F.coalesce(far, F.lit(False)))).drop("_q_ref_chars", "_q_ref_common", "_q_lang")
+    return df.withColumn("_q_kept", ~F.col("_q_base_failed") & (short | ~F.coalesce(far, F.lit(False)))).drop("_q_ref_chars", "_q_ref_common", "_q_lang", "_q_docs")
 
 
 def judge_documents(docs: DataFrame) -> DataFrame:
@@ -130,7 +135,10 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge_documents(docs).where("_q_kept").select(*[f"`{c}`" for c in docs.columns])
+    own = [f"c{i}" for i in range(len(docs.columns))]  # no name of a column meets those of the figures
+    plain = docs.toDF(*own)
+    text, lang = (F.col(own[docs.columns.index(c)]).alias(c) for c in ("text", "lang"))
+    return judge_documents(plain.select(*own, text, lang)).where("_q_kept").select(*own).toDF(*docs.columns)
 
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -5,8 +5,10 @@ Seeds of benchmark items are joined with those of documents; every hit gives a d
 against the document word by word and the best run of agreement (a match counts 1, a mismatch MISMATCH) is taken.
 Words agreeing on all diagonals of an item together decide.
 
-Words are compared in lower case, without anything but letters and digits. Defined results: null and empty texts and
-items, and items of fewer than SPAN words, match nothing; repeated rows give one row together, null ids one like any other; several
+Words are compared in lower case, without anything but letters and digits. Items too short for a seed are found whole: from
+LEAST_SHORT words on wherever a document has all of them in a row, shorter ones where they are all of a document's words.
+
+Defined results: null and empty texts and items match nothing; repeated rows give one row together, null ids one like any other; several
 items may match one document; empty tables give an empty result; other columns are not read.
 """
 
@@ -15,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agoraflow.llm.shared import staged
+from agoraflow.llm.shared import staged, unused
 
 #: Fixed masks: 1 is kept, 0 is ignored.
 MASKS = ["1101100111", "1110110101"]
-SPAN = 10
+SPAN, LEAST_SHORT = 10, 6
 MISMATCH = -1.5
 #: A leak has SPAN agreeing words in a run, or this share of the item and LEAST_WORDS.
 SHARE, LEAST_WORDS = 0.5, 9
@@ -44,6 +46,18 @@ def seeds(words: Column) -> Column:
     return F.when(last >= 0, F.concat(*[of(k, m) for k, m in enumerate(MASKS)]))
 
 
+def whole(words: Column, sizes: list[int], item: bool) -> Column:
+    """As seeds(), for items of these sizes: a hash of all words of an item; of every run of so many words of a document."""
+    last = F.size(words)
+
+    def of(n: int) -> Column:
+        fits = last == n if item or n < LEAST_SHORT else last >= n
+        hashed = F.transform(F.sequence(F.lit(0), last - n), lambda i: F.struct(F.xxhash64(F.lit(100 + n), *[F.get(words, i + o) for o in range(n)]).alias("h"), i.alias("at")))
+        return F.when(fits, hashed).otherwise(F.array().cast("array<struct<h:bigint,at:int>>"))
+
+    return F.concat(*map(of, sizes))
+
+
 def best_run(ours: Column, theirs: Column, shift: Column) -> Column:
     """Agreeing words in the best run of `theirs` laid on `ours` from position shift on."""
     agree = F.transform(theirs, lambda w, i: F.coalesce(F.when(i + shift >= 0, F.get(ours, i + shift)) == w, F.lit(False)))
@@ -58,17 +72,28 @@ def best_run(ours: Column, theirs: Column, shift: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("_d_id"), F.xxhash64("doc_id", "text").alias("_d_key"), F.col("text").alias("_d_text"))
+    return docs.select(F.col("doc_id").alias("_d_id"), row_key().alias("_d_key"), F.col("text").alias("_d_text"))
+
+
+def row_key() -> Column:
+    """128 bits of hashes of id and text: rows with equal keys are repeated rows."""
+    return F.concat_ws(" ", F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(1), "text", "doc_id"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """_d_key, doc_id, item_id, matched_words, item_words of every document and benchmark item that overlap."""
-    items = staged(benchmark.select(F.col("item_id").alias("item_id"), word_hashes(F.col("text")).alias("item")).where(F.size("item") >= SPAN).distinct().withColumn("k", F.xxhash64("item_id", "item")), "items")
-    theirs = items.select("k", F.explode(seeds(F.col("item"))).alias("s")).select("k", F.col("s.h").alias("h"), F.col("s.at").alias("q"))
+    items = staged(benchmark.select(F.col("item_id").alias("item_id"), word_hashes(F.col("text")).alias("item")).where(F.size("item") > 0).distinct().withColumn("k", F.xxhash64("item_id", "item")), "items")
+    short = sorted(r["n"] for r in items.select(F.size("item").alias("n")).where(F.col("n") < SPAN).distinct().collect())  # SPAN rows at most
+
+    def found_by(words: Column, item: bool) -> Column:
+        long = F.coalesce(seeds(words), F.array().cast("array<struct<h:bigint,at:int>>"))
+        return F.explode(F.concat(long, whole(words, short, item)) if short else long).alias("s")
+
+    theirs = items.select("k", found_by(F.col("item"), True)).select("k", F.col("s.h").alias("h"), F.col("s.at").alias("q"))
     theirs = staged(theirs, "item-seeds")
     few = theirs.count() <= BROADCAST_SEEDS
     ours = _keyed(docs).select("_d_key", word_hashes(F.col("_d_text")).alias("w"))
-    ours = ours.select("_d_key", F.explode(seeds(F.col("w"))).alias("s")).select("_d_key", F.col("s.h").alias("h"), F.col("s.at").alias("p"))
+    ours = ours.select("_d_key", found_by(F.col("w"), False)).select("_d_key", F.col("s.h").alias("h"), F.col("s.at").alias("p"))
     hits = ours.join(F.broadcast(theirs) if few else theirs, "h").select("_d_key", "k", (F.col("p") - F.col("q")).alias("shift")).distinct()
     hits = staged(hits, "seed-hits")
     some = hits.join(F.broadcast(items) if few else items, "k")
@@ -78,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = found.select("_d_key", "_d_id", "item_id", "k", "n", "shift", best_run(F.col("w"), F.col("item"), F.col("shift")).alias("m")).distinct()
     total = runs.groupBy("_d_key", F.col("_d_id").alias("doc_id"), "item_id", "k", F.col("n").alias("item_words")).agg(F.max("m").alias("longest"), F.sum("m").alias("m"))
     total = total.withColumn("matched_words", F.least(F.col("m"), F.col("item_words")).cast("int"))
-    leak = (F.col("longest") >= SPAN) | ((F.col("longest") >= LEAST_WORDS) & (F.col("matched_words") >= SHARE * F.col("item_words")))
+    leak = (F.col("longest") >= F.least(F.lit(SPAN), F.col("item_words"))) | ((F.col("longest") >= LEAST_WORDS) & (F.col("matched_words") >= SHARE * F.col("item_words")))
     return total.where(leak).select("_d_key", "doc_id", "item_id", "matched_words", "item_words")
 
 
@@ -86,8 +111,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any leak, with their own columns."""
     bad = staged(leaks(docs, benchmark).select("_d_key").distinct(), "leaks")
     few = bad.count() <= BROADCAST_HITS
-    keyed = docs.withColumn("_d_key", F.xxhash64("doc_id", "text"))
-    return keyed.join(F.broadcast(bad) if few else bad, "_d_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    name = unused(docs, "key")
+    keyed, bad = docs.withColumn(name, row_key()), bad.withColumnRenamed("_d_key", name)
+    return keyed.join(F.broadcast(bad) if few else bad, name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

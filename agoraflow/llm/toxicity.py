@@ -5,8 +5,8 @@ documents favour, the other with segments trained on words of ordinary ones. A t
 each window is compressed with both, and the bytes that the toxic dictionary saves are summed up per document. A
 logistic curve over those sums, fitted on the labelled documents, calibrates the score.
 
-Fitting uses a bounded sample of labelled rows: at most MAX_TOXIC and MAX_ORDINARY documents, those with the least hash
-of their id. Everything else works on all rows and whole texts.
+Fitting uses a bounded sample of labelled rows: at most MAX_TOXIC and MAX_ORDINARY documents with MAX_BYTES of text, those
+with the least hash of their id. Everything else works on all rows and whole texts.
 
 Defined results: null and empty texts are scored as texts without windows; null ids are scored and never learned from;
 repeated rows are scored alike; labels other than 0 and 1 are ignored; without rows of both labels every score is
@@ -27,18 +27,21 @@ import numpy as np
 import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agoraflow.llm.shared import id_crc32
+from agoraflow.llm.shared import id_crc32, trimmed, unused
 
-MAX_TOXIC, MAX_ORDINARY = 2000, 6000
+MAX_TOXIC, MAX_ORDINARY, MAX_BYTES = 2000, 6000, 64_000_000
 #: Words in a window.
 WINDOW = 6
 #: A word counts as toxic if toxic documents have it so many times as often, and so large a share of them has it.
 RATIO, SHARE = 6.0, 0.015
 BASE_BYTES, CLASS_BYTES, STEP_BYTES = 14_000, 4_000, 400
 THRESHOLD = 0.3
+#: Texts scored together.
+ROWS = 512
 SAVINGS = (2, 3, 4, 5)
 _OTHER = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
@@ -69,12 +72,12 @@ class Model:
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Savings of the toxic dictionary over each text's windows."""
         toxic, ordinary = _compressor(self.toxic).compress, _compressor(self.ordinary).compress
-        out = np.zeros((len(texts), 3 + 2 * len(SAVINGS)))
+        out = np.zeros((len(texts), 2 + 2 * len(SAVINGS)))
         for row, text in zip(out, texts, strict=True):
             gain = np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(plain_words(text))])
             if n := len(gain):
                 over = [int((gain >= k).sum()) for k in SAVINGS]
-                row[:] = [gain.sum() / math.sqrt(n + 1), *(x / math.sqrt(n + 1) for x in over), *(math.log1p(x) for x in over), min(8, gain.max()), math.log(n)]
+                row[:] = [gain.sum() / math.sqrt(n + 1), *(x / math.sqrt(n + 1) for x in over), *(math.log1p(x) for x in over), gain.max()]
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -150,31 +153,36 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str | None, int]]:
-    """At most MAX_TOXIC and MAX_ORDINARY (text, toxic) rows with the least hash of their id."""
-    own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")).withColumn("h", F.xxhash64("id"))
+    """(text, toxic) rows with the least hash of their id: at most MAX_TOXIC and MAX_ORDINARY, and MAX_BYTES of text together.
+    An id labelled both 0 and 1 counts as toxic."""
+    own = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("y")).withColumn("h", F.xxhash64("id"))
     sides = [own.where(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, MAX_TOXIC), (0, MAX_ORDINARY))]
-    picked = sides[0].unionByName(sides[1]).dropDuplicates(["id"])
-    found = docs.join(F.broadcast(picked), docs["doc_id"] == picked["id"]).select("h", "id", "text", "y")
-    return [(r["text"], r["y"]) for r in found.orderBy("h", "id", "text").limit(MAX_TOXIC + MAX_ORDINARY).collect()]
+    picked = sides[0].unionByName(sides[1])
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    found = texts.join(F.broadcast(picked), "id").orderBy("h", "id", "text").limit(MAX_TOXIC + MAX_ORDINARY)
+    before = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy("h", "id", "text").rowsBetween(W.unboundedPreceding, 0))
+    return [(r["text"], r["y"]) for r in found.withColumn("size", before).where(F.col("size") <= MAX_BYTES).collect()]
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _t_score added; other columns pass through, whatever their names."""
+def scored(docs: DataFrame, model: Model, name: str = "_t_score") -> DataFrame:
+    """docs with the score added under a name; other columns pass through, whatever their names."""
     names, at = docs.columns, docs.columns.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     types = T.StructType([*plain.schema.fields, T.StructField("s", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(batch.column(at).to_pylist())
+            score = np.concatenate([np.zeros(0), *(model.score(batch.column(at).slice(i, ROWS).to_pylist()) for i in range(0, batch.num_rows, ROWS))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=types.names)
+        trimmed()
 
-    return plain.mapInArrow(run, types).toDF(*names, "_t_score")
+    return plain.mapInArrow(run, types).toDF(*names, name)
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under the threshold, with their own columns."""
-    return scored(docs, model).where(F.col("_t_score") < threshold).select(*[f"`{c}`" for c in docs.columns])
+    name = unused(docs, "score")
+    return scored(docs, model, name).where(F.col(name) < threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

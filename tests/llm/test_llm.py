@@ -273,6 +273,58 @@ def test_divergence_base(spark):
     assert got == sorted((str(i), *_base(t)) for i, t in rows)
 
 
+def _distance(p, q):
+    m = [(a + b) / 2 for a, b in zip(p, q, strict=True)]
+    part = lambda x: sum(a * math.log2(a / c) for a, c in zip(x, m, strict=True) if a > 0)
+    return math.sqrt(max(0.0, (part(p) + part(q)) / 2))
+
+
+def test_divergence_distances_and_verdicts_by_brute_force(spark):
+    import regex
+
+    rnd = random.Random(31)
+    words = [*divergence.COMMON_WORDS, *(f"w{i}x" for i in range(200)), "$$$", "12345", "LOUD"]
+    rows = [(i, " ".join(rnd.choice(words[: 60 + 4 * i]) for _ in range(40 + 5 * i)) + "!", rnd.choice(["en", "en", "de", None])) for i in range(45)] + [(98, "ZZ 99 " * 60 + " ".join(f"{k}#" for k in range(90)), "xx"), (99, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    figures = {}
+    for i, t, lang in rows:
+        w = WORD.findall(t or "")
+        n = len(t or "")
+        count = lambda pattern, t=t: len(regex.findall(pattern, t or ""))
+        upper, digit, space = count(r"\p{Lu}"), count(r"\p{N}"), n - sum(map(len, w))
+        mark = sum(c in ".,;:!?'\"()-" for c in t or "")
+        symbol = count(r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:!?'\"()\-]")
+        chars = [x / max(n, 1) for x in (n - upper - digit - space - mark - symbol, upper, digit, space, mark, symbol)]
+        found = Counter(x.lower() for x in w)
+        common = [found[c] for c in divergence.COMMON_WORDS]
+        figures[i] = (chars, [x / max(len(w), 1) for x in [*common, len(w) - sum(common)]], lang, _base(t), n)
+    good = [f for f in figures.values() if not f[3][5]]
+    mean = lambda fs, k: [sum(x) / max(len(fs), 1) for x in zip(*(f[k] for f in fs), strict=True)]
+    for r in divergence.judge_documents(docs).collect():
+        chars, common, lang, base, n = figures[r.doc_id]
+        own = [f for f in good if f[2] == lang]
+        d = []
+        for k, x in ((0, chars), (1, common)):
+            every, mine = mean(good, k), mean(own, k) if own else [0.0] * len(x)
+            d.append(_distance(x, [(len(own) * a + divergence.REF_DOCS * b) / (len(own) + divergence.REF_DOCS) for a, b in zip(mine, every, strict=True)]))
+        assert (round(r._q_char_distance, 6), round(r._q_word_distance, 6)) == (round(d[0], 6), round(d[1], 6)), r.doc_id
+        far = d[0] > divergence.MAX_CHAR_DISTANCE or (d[0] > divergence.LEAST_CHAR_DISTANCE and d[1] ** 2 > divergence.WORD_DISTANCE**2 + divergence.WORD_NOISE / max(base[0], 1))
+        assert r._q_kept == (not base[5] and (n < divergence.MIN_CHARS or base[0] < divergence.MIN_WORDS or not far)), r.doc_id
+
+
+def test_clashing_columns_pass_through(spark):
+    words = "the of and to in a house tree road river walked slowly under bright evening light".split()
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(words) + rnd.choice(["", "", "x", "y", "z"]) for _ in range(120)) + ".", "en", i, True, "s", 0.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id int, _q_kept boolean, _q_text string, _t_score double")
+    assert sorted(map(tuple, divergence.keep_good(docs).collect())) == rows
+    model = toxicity.fit(toxicity.labelled_sample(docs, spark.createDataFrame([(1, 0, 5)], "doc_id long, toxic int, id int")))
+    assert sorted(map(tuple, toxicity.keep_ordinary(docs.withColumnRenamed("_q_text", "score"), model).collect())) == rows
+    keyed = docs.withColumnRenamed("id", "_d_key").withColumnRenamed("_q_text", "key")
+    bench = spark.createDataFrame([(1, "nothing of this is in there at all so it stays")], "item_id long, text string")
+    assert sorted(map(tuple, decontaminate.drop_leaks(keyed, bench).collect())) == rows
+
+
 def test_divergence_rejects_far_texts_and_keeps_columns(spark):
     rnd = random.Random(4)
     words = "the of and to in a house tree road river walked slowly under bright evening light".split()
@@ -445,6 +497,44 @@ def test_decontaminate(spark):
     assert decontaminate.leaks(documents(spark, []), bench).count() == decontaminate.leaks(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontaminate_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven"), (2, "Alpha, beta gamma!"), (3, "p q r s t u v w x"), (4, "!!!")], "item_id long, text string")
+    rows = [(1, "so one two three four five six seven then"), (2, "one two three four five six and seven"), (3, "alpha beta gamma"), (4, "alpha beta gamma delta"), (5, "P q r s t u v w x"), (6, "!"), (7, "a one two three four five six seven one two three four five six seven")]
+    out = decontaminate.leaks(documents(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words) for r in out) == [(1, 1, 7), (3, 2, 3), (5, 3, 9), (7, 1, 7)]
+
+
+def test_decontaminate_agrees_with_brute_force(spark):
+    rnd = random.Random(19)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [[rnd.choice(vocabulary) for _ in range(rnd.randint(10, 60))] for _ in range(8)]
+    rows = []
+    for i in range(80):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randint(20, 80))]
+        if i % 2:
+            item = rnd.choice(items)
+            n = min(len(item), rnd.randint(3, 30))
+            at, k = rnd.randrange(len(item) - n + 1), rnd.randrange(len(w))
+            w[k:k] = item[at : at + n]
+        rows.append((i, " ".join(w)))
+
+    def run(a, b):  # the longest run of equal words
+        best, last = 0, {}
+        for x in range(len(a)):
+            now = {}
+            for y in range(len(b)):
+                if a[x] == b[y]:
+                    now[y] = last.get(y - 1, 0) + 1
+                    best = max(best, now[y])
+            last = now
+        return best
+
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    longest = {(i, k): run(t.split(), item) for i, t in rows for k, item in enumerate(items)}
+    assert {p for p, n in longest.items() if n >= 10} <= got and not {p for p, n in longest.items() if n < 6} & got
+
+
 def test_decontaminate_short_quotes_of_long_items(spark):
     rnd = random.Random(10)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))

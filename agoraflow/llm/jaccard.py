@@ -7,7 +7,7 @@ that have it; of shingles with the same nodes one is enough. Leaves, in order of
 nodes the OR of their children's bitmaps and the range of their sizes. Every candidate comes out of a tree, in two
 traversals: the first takes neighbouring leaves whose bitmaps allow a link, and the links among them join leaves to
 classes; the second descends from pairs of nodes, and leaves out those whose sizes, classes or greatest possible overlap
-exclude a link. Candidates are compared set by set. Components are found by large-star and small-star rounds.
+exclude a link. Candidates are compared set by set. Components are found by star rounds.
 
 A tree has at most TILE leaves: a shingle of more nodes has several trees, which are traversed pair by pair. Texts are
 staged once with a number; sets are made again from them where they are needed, and which of them is told by one small
@@ -424,25 +424,42 @@ def tile_pairs(members: DataFrame) -> DataFrame:
     return alone.unionByName(left.join(right, "h").where(near).select("h", F.col("tile1").alias("t"), F.col("tile2").alias("u")))
 
 
+def small_star(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, of which each u keeps the one to its least v; its other neighbours are joined to that v. Rows are read in order, none are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = least = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = (batch.column(i).to_numpy() for i in range(2))
+            first = np.append(u[0] != at, u[1:] != u[:-1])
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(u)), -1))
+            m = np.where(begin >= 0, v[np.maximum(begin, 0)], 0 if least is None else least)
+            again = ~first & (v == np.append(-1 if last is None else last, v[:-1]))
+            at, least, last = int(u[-1]), int(m[-1]), int(v[-1])
+            keep = ~again
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(first, u, v)[keep]), pa.array(m[keep])], names=["u", "v"])
+
+    parts = max(12, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return edges.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes in links (a, b): rounds of large-star and small-star until nothing changes."""
-    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    """(node, root) of all nodes in links (a, b): rounds of small-star, then of every edge to the least neighbour of its lower end, until nothing changes."""
     mark = lambda df: df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+    edges = staged(small_star(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")), "stars")
     was = mark(edges)
     while was[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
-        small = pairs.select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = staged(small, "links")
+        least = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        edges = staged(small_star(large), "stars")
         now = mark(edges)
         if now == was:
             break
         was = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    return staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -474,7 +491,11 @@ def link_documents(docs: DataFrame) -> DataFrame:
     two = members.join(tiles.where("t < u").withColumn("tile", F.col("u")), ["h", "tile"])
     second = linking(traversed(one.unionByName(two), True), texts)
     freed(spark)
-    roots = components(first.unionByName(second))
+    # only classes are left to be joined
+    named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")
+    joined = components(named(named(second, "a"), "b")).withColumnRenamed("node", "to").withColumnRenamed("root", "last")
+    roots = label.join(joined, "to", "left").select("node", F.coalesce("last", "to").alias("root"))
+    roots = staged(roots.unionByName(joined.join(label.select(F.col("node").alias("to")), "to", "left_anti").select(F.col("to").alias("node"), F.col("last").alias("root"))), "roots")
     named_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named_nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = named_nodes.join(least, "root").select(F.col("key").alias("k"), "component_id", F.col("root").alias("group"))

@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 #: Fixed sets of HTML names.
 DROPPED = {"script", "style", "iframe", "object", "embed", "form", "input", "button", "textarea", "select", "meta", "link", "base", "noscript", "svg", "math", "template"}
 VOID = {"input", "embed", "meta", "link", "base"}
-RESOURCES = {"src", "srcset", "background", "poster", "data"}
+RESOURCES = {"src", "srcset", "background", "poster", "data", "lowsrc", "dynsrc", "longdesc", "usemap", "code", "codebase"}
 _SCRIPT = re.compile(r"^[\s\x00-\x20]*(?:javascript|vbscript|data)\s*:", re.I)
+#: Browsers drop these inside of an address.
+_DROPPED = re.compile(r"[\t\r\n\x00]")
 _CSS_URL = re.compile(r"url\s*\([^)]*\)", re.I)
 
 
@@ -37,9 +39,9 @@ class _Cleaner(HTMLParser):
                 continue
             if k == "style":
                 v = _CSS_URL.sub("none", v)
-            if k in RESOURCES and not v.lower().startswith("cid:") and not (self.trusted and not _SCRIPT.match(v)):
+            if k in RESOURCES and not v.lower().startswith("cid:") and not (self.trusted and not _SCRIPT.match(_DROPPED.sub("", v))):
                 k = f"data-blocked-{k}"
-            elif k in ("href", "action", "formaction") and _SCRIPT.match(v):
+            elif k in ("href", "action", "formaction") and _SCRIPT.match(_DROPPED.sub("", v)):
                 continue
             kept.append((k, v))
         if tag == "a" and any(k == "href" and not v.startswith(("#", "mailto:")) for k, v in kept):

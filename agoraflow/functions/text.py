@@ -100,3 +100,34 @@ def interpolated(template: Column, values: Column) -> Column:
 def css_minified(css: Column) -> Column:
     bare = F.regexp_replace(css, r"(?s)/\*.*?\*/", "")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"\s*([{};:,>])\s*", "$1"))
+
+
+def lenient_bool(text: Column) -> Column:
+    """false for null, the empty text and 0, else true."""
+    return F.coalesce((text != "") & (text != "0"), F.lit(False))
+
+
+def normalised(name: Column, case_sensitive: bool = False) -> Column:
+    return name if case_sensitive else F.lower(name)
+
+
+def hex_colour(text: Column, default: str = "000000") -> Column:
+    """Six hexadecimal digits after an optional #, in lower case; else the default."""
+    found = F.regexp_extract(F.trim(text), r"^#?([0-9a-fA-F]{6})$", 1)
+    return F.when(F.coalesce(found, F.lit("")) != "", F.lower(found)).otherwise(default)
+
+
+def labelled(code: Column, labels: dict, default: str) -> Column:
+    """The label of a code, else the default."""
+    known = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.element_at(known, code), F.lit(default))
+
+
+def locale_of(text: Column, known: list[str], default: str) -> Column:
+    low = F.lower(F.left(F.trim(text), F.lit(2)))
+    return F.when(low.isin(*known), low).otherwise(default)
+
+
+def leaf(name: Column, delimiter: str) -> Column:
+    """The part of a folder's name after the last delimiter."""
+    return F.substring_index(name, delimiter, -1)

@@ -55,3 +55,32 @@ def headers(raw: Column) -> Column:
 def head_and_body(raw: Column) -> Column:
     """[head, body] of a message at its first blank line."""
     return F.split(raw, "\r?\n\r?\n", 2)
+
+
+def filter_query(**values: Column) -> Column:
+    """name=value of all values that are not null, encoded, joined by &."""
+    return F.array_join(F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string"))) for k, v in values.items()])), "&")
+
+
+def method_class(method: Column) -> Column:
+    """safe, idempotent or unsafe."""
+    m = F.upper(method)
+    return F.when(m.isin("GET", "HEAD", "OPTIONS", "TRACE"), "safe").when(m.isin("PUT", "DELETE"), "idempotent").otherwise("unsafe")
+
+
+def uri_text(scheme: Column, host: Column, port: Column, path: Column, query: Column) -> Column:
+    """An address put together; the port that the scheme implies is left out, as are empty parts."""
+    usual = F.when(scheme == "http", 80).when(scheme == "https", 443)
+    shown = F.when(port.isNotNull() & ~port.eqNullSafe(usual), F.concat(F.lit(":"), port.cast("string"))).otherwise("")
+    rest = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.concat(scheme, F.lit("://"), host, shown, rest, F.when(F.coalesce(query, F.lit("")) != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def client_ip(remote: Column, forwarded: Column, trusted: bool) -> Column:
+    """The peer's address, or behind a trusted proxy the first public IPv4 address of the forwarded list."""
+    if not trusted:
+        return remote
+    parts = F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda x: F.trim(x))
+    private = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.)"
+    public = F.filter(parts, lambda x: x.rlike(r"^(\d{1,3}\.){3}\d{1,3}$") & ~x.rlike(private))
+    return F.coalesce(F.get(public, F.lit(0)), remote)

@@ -72,4 +72,4 @@ def tombstoned(df: DataFrame, where: Column, key: str, name: str, cleared: list[
 
 def replaced_group(df: DataFrame, column: str, group, rows: DataFrame) -> DataFrame:
     """df with all rows of a group replaced by rows."""
-    return df.where(F.col(column) != group).unionByName(rows)
+    return df.where(~F.col(column).eqNullSafe(F.lit(group))).unionByName(rows)

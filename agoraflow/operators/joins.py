@@ -25,10 +25,20 @@ def typed_union(**branches: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(kind)) for kind, df in branches.items()])
 
 
+#: Codes that a matrix may have as columns.
+MATRIX_COLUMNS = 10_000
+
+
 def flag_matrix(rows: DataFrame, columns: DataFrame, held: DataFrame, keys: list[str], name: str = "held") -> DataFrame:
-    """Every row key with every column key and whether the pair is held. Both sides are catalogs of codes, not data."""
+    """Every row key with every column key and whether the pair is held. columns, of one column, is a catalog of codes: of more than
+    MATRIX_COLUMNS an error is raised."""
+    own = columns.columns[0]
+    codes = [r[0] for r in columns.limit(MATRIX_COLUMNS + 1).collect()]
+    if len(codes) > MATRIX_COLUMNS:
+        raise ValueError(f"more than {MATRIX_COLUMNS} codes")
+    kind = columns.schema[0].dataType
+    pairs = rows.withColumn(own, F.explode(F.array(*[F.lit(c).cast(kind) for c in codes]) if codes else F.array().cast(f"array<{kind.simpleString()}>")))
     marked = held.select(*keys).distinct().withColumn(name, F.lit(True))
-    pairs = rows.join(F.broadcast(columns), F.lit(True))
     return pairs.join(marked, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 

@@ -196,12 +196,13 @@ def nested_groups(spark, d):
     return outer.select("r_name", F.array_join(F.transform("nations", lambda x: F.concat(x["n_name"], F.lit(":"), x["suppliers"])), ";").alias("nations"))
 
 
-@query("""SELECT t.event_type, u.user_id, EXISTS (SELECT 1 FROM events e WHERE e.event_type = t.event_type AND e.user_id = u.user_id AND e.value > 50) AS held
-FROM (SELECT DISTINCT event_type FROM events) t, (SELECT DISTINCT user_id FROM events WHERE user_id < 20) u""")
+@query("""SELECT n.n_nationkey, s.c_mktsegment, EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = s.c_mktsegment AND c.c_acctbal > 9000) AS held
+FROM nation n, (SELECT DISTINCT c_mktsegment FROM customer) s""")
 def matrix_flags(spark, d):
-    """Every event type with every user of a catalog and whether the pair occurs."""
-    e = table(spark, d, "events")
-    return joins.flag_matrix(e.where("user_id < 20").select("user_id").distinct(), e.select("event_type").distinct(), e.where("value > 50"), ["event_type", "user_id"]).select("event_type", "user_id", "held")
+    """Every nation with every market segment, two catalogs, and whether a rich customer is in both."""
+    c = table(spark, d, "customer")
+    rich = c.where("c_acctbal > 9000").withColumnRenamed("c_nationkey", "n_nationkey")
+    return joins.flag_matrix(table(spark, d, "nation").select("n_nationkey"), c.select("c_mktsegment").distinct(), rich, ["n_nationkey", "c_mktsegment"]).select("n_nationkey", "c_mktsegment", "held")
 
 
 @query("SELECT p_partkey, p_brand IN (SELECT p_brand FROM part WHERE p_size = 1) AS highlighted FROM part")
@@ -233,9 +234,9 @@ def cap_newest(spark, d):
     return paging.newest(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", 3, "event_id").drop("ts")
 
 
-@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1")
+@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def latest_event(spark, d):
-    return dml.latest(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts")
+    return dml.latest(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id")
 
 
 @query("""SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)

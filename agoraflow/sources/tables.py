@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -24,10 +26,19 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str | None = None, bound
     return spark.read.jdbc(url, name, properties=properties)
 
 
+#: What a script is read by: quoted text with doubled or escaped quotes, comments, the end of a statement, anything else.
+_TOKEN = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`)|(--[^\n]*|\#[^\n]*|/\*.*?\*/)|(;)|([^'"`;#/-]+|.)""", re.S)
+
+
 def statements(script: str) -> list[str]:
-    """The statements of an SQL script without its line comments."""
-    bare = "\n".join(line for line in script.splitlines() if not line.lstrip().startswith("--"))
-    return [s.strip() for s in bare.split(";") if s.strip()]
+    """The statements of an SQL script without its comments; semicolons and comment signs in quotes are text."""
+    out = [""]
+    for m in _TOKEN.finditer(script):
+        if m[3]:
+            out.append("")
+        else:
+            out[-1] += " " if m[2] else m[0]
+    return [s.strip() for s in out if s.strip()]
 
 
 def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:

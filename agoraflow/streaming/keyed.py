@@ -61,17 +61,29 @@ def read_once(values: DataFrame, key: str, value: str, kind: str) -> DataFrame:
 
 
 def upsert_batches(path: str, keys: list[str], order: str):
-    """A foreachBatch function that keeps the latest row of each key in a table; the new table is written beside the old and swapped in."""
+    """A foreachBatch function that keeps the latest row of each key in a table.
+
+    The new table is written beside the old one, with the batch's number in it, and then takes its place; the old one is kept
+    until that is done and comes back if a run stopped in between. A batch that comes again changes nothing.
+    """
     from agoraflow.operators.dml import upserted
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        here, there = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{number}")
-        fs = here.getFileSystem(conf)
-        old = spark.read.parquet(path) if fs.exists(here) else batch.limit(0)
-        upserted(old, batch, keys, order).write.mode("overwrite").parquet(str(there))
-        fs.delete(here, True)
-        fs.rename(there, here)
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        here, new, old = at(path), at(f"{path}.new"), at(f"{path}.old")
+        store = here.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not store.exists(here) and store.exists(old):
+            store.rename(old, here)
+        if store.exists(at(f"{path}/_batch-{number}")):
+            return
+        rows = spark.read.parquet(path) if store.exists(here) else batch.limit(0)
+        upserted(rows, batch, keys, order).write.mode("overwrite").parquet(f"{path}.new")
+        store.create(at(f"{path}.new/_batch-{number}")).close()
+        store.delete(old, True)
+        if store.exists(here):
+            store.rename(here, old)
+        store.rename(new, here)
+        store.delete(old, True)
 
     return write

@@ -242,3 +242,50 @@ def test_read_once_and_upsert_streams(spark, tmp_path):
     for number, rows in enumerate([[(1, 1), (2, 1)], [(2, 5), (2, 4), (3, 1)]]):
         write(spark.createDataFrame(rows, "id int, n int"), number)
     assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/t").collect()) == [(1, 1), (2, 5), (3, 1)]
+
+
+def test_batches_that_come_again_or_stop_in_between(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    write = keyed.upsert_batches(path, ["id"], "n")
+    first, second = (spark.createDataFrame(rows, "id int, n int") for rows in ([(1, 1), (2, 1)], [(2, 5)]))
+    write(first, 0)
+    write(spark.createDataFrame([(1, 9)], "id int, n int"), 0)  # the number is known: nothing changes
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 1)]
+    (tmp_path / "t").rename(tmp_path / "t.old")  # stopped between the two renames
+    write(second, 1)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, 1), (2, 5)] and not (tmp_path / "t.old").exists()
+
+
+def test_statements_keep_quotes():
+    script = "-- one; two\nINSERT INTO t VALUES ('a;b', 'it''s -- no'); /* x;y */ SELECT 1 - 2;\n# z;\nSELECT \"q;\", `c;d`"
+    assert tables.statements(script) == ["INSERT INTO t VALUES ('a;b', 'it''s -- no')", "SELECT 1 - 2", 'SELECT "q;", `c;d`']
+
+
+def test_groups_replaced_beside_null(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id int, g string")
+    assert sorted(r.id for r in dml.replaced_group(df, "g", "a", spark.createDataFrame([(9, "a")], df.schema)).collect()) == [2, 3, 9]
+
+
+def test_matrix_of_too_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MATRIX_COLUMNS", 2)
+    rows = spark.createDataFrame([(1,)], "r int")
+    held = spark.createDataFrame([("a", 1)], "c string, r int")
+    two = spark.createDataFrame([("a",), ("b",)], "c string")
+    assert sorted((r.c, r.held) for r in joins.flag_matrix(rows, two, held, ["r", "c"]).collect()) == [("a", True), ("b", False)]
+    with pytest.raises(ValueError, match="more than 2"):
+        joins.flag_matrix(rows, two.unionByName(spark.createDataFrame([("c",)], "c string")), held, ["r", "c"])
+
+
+def test_scheme_with_a_tab_is_a_script():
+    cleaner = sanitize._Cleaner(True)
+    cleaner.feed('<a href="java\tscript:x()">a</a><img src="java\nscript:y()" lowsrc="http://x/y">')
+    text = "".join(cleaner.out)
+    assert "script:x" not in text and ' src="' not in text and "<img data-blocked-src" in text
+
+
+def test_addresses_of_both_kinds_in_networks(spark):
+    points = spark.createDataFrame([(1, "10.0.0.7"), (2, "2001:db8::5"), (3, "junk"), (4, None), (5, "11.0.0.1")], "id int, ip string")
+    nets = spark.createDataFrame([("a", "10.0.0.0/8"), ("b", "10.0.0.7"), ("c", "2001:db8::/32"), ("d", "::/0"), ("e", "bad/8"), ("f", "10.0.0.0/33")], "net string, cidr string")
+    got = sorted((r.id, r.net) for r in net.address_matches(points, nets, "ip", "cidr").collect())
+    assert got == [(1, "a"), (1, "b"), (1, "d"), (2, "c"), (2, "d"), (5, "d")]
+    assert net.address_matches(points, nets.limit(0), "ip", "cidr").count() == 0

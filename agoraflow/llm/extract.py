@@ -1,12 +1,13 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree of elements. Scripts, styles, forms and whatever tags, roles, classes or ids name as menus,
-headers, footers, sidebars, notices, adverts or comments leave it. For each node left, the composite text density is its
-characters for each tag, adjusted for the share of characters and tags in links. The node whose children's densities
-sum up highest is the centre; the least density on the way from it to the body is the threshold, and from the body down
-every node at or above it contributes its subtree with the greatest sum.
+A page becomes a tree of elements without scripts, styles, other raw text and hidden parts. For each node the composite text
+density is its characters for each tag, adjusted for the share of characters and tags in links. Elements whose tags, roles,
+classes or ids name menus, headers, footers, sidebars, notices, adverts, forms or comments are not taken out: their
+characters weigh LIGHT in every density. The node whose children's densities sum up highest is the centre; the least density
+on the way from it to the body is the threshold. From the body down every node at or above it contributes its subtree with
+the greatest sum, without the parts of little weight whose density is below the threshold.
 
-Defined results: null and empty pages, and pages without text outside of what leaves, give the empty string; unclosed
+Defined results: null and empty pages, and pages with text of little weight alone, give the empty string; unclosed
 and stray tags are repaired as browsers do for paragraphs, list items and cells; a comment, script or tag that never
 ends runs to the end of the page; repeated rows and null ids pass through; an empty table gives an empty result; other
 columns are not read.
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg canvas object math select".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes template svg canvas select".split())
 BLOCKS = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br caption".split())
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "caption", "html", "body"}
 #: What an opening tag ends, up to what encloses it.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
+#: What a character counts in parts that are named as something else than the main text.
+LIGHT = 0.001
 LEAVES_TAGS = frozenset("nav footer aside form button dialog menu fieldset head".split())
 LEAVES_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead banner topbar footer foot sidebar side aside widget widgets rail "
@@ -106,8 +109,8 @@ class Page:
             if inline and tag in BLOCKS:
                 return
 
-    def leaving(self) -> list[bool]:
-        """Which nodes are taken out, with all below them."""
+    def named(self) -> tuple[list[bool], list[bool]]:
+        """Which nodes are no text or hidden, and which are named as something else than the main text, each with all below them."""
         n = len(self.tag)
         holds, inside, size, marks = [False] * n, [False] * n, [0] * n, [0] * n
         for node, text in self.items:
@@ -120,12 +123,20 @@ class Page:
             marks[self.parent[i]] += marks[i]
         # where no article or main is named outside of it, an element with most of the text is the page's own
         rich = [2 * size[i] > size[0] and marks[i] == marks[0] for i in range(n)]
-        out = [False] * n
+        out, light = [False] * n, [False] * n
         for i in range(1, n):
             p, tag = self.parent[i], self.tag[i]
             inside[i] = inside[p] or tag in ("article", "main")
-            out[i] = out[p] or tag in RAW or self._leaves(i, tag, inside[i], holds[i], rich[i])
-        return out
+            out[i] = out[p] or tag in RAW or tag == "head" or self._hidden(i)
+            light[i] = light[p] or self._light(i, tag, inside[i], holds[i], rich[i])
+        return out, light
+
+    def _hidden(self, i: int) -> bool:
+        for k, v, hidden in _ATTR.findall(self.attrs[i]) if self.attrs[i] and self.tag[i] not in ("html", "body", "main") else ():
+            k, v = k.lower(), v.strip("\"'")
+            if hidden or k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and _NONE_SHOWN.search(v)):
+                return True
+        return False
 
     def _named(self, i: int) -> set[str]:
         """The words of an element's class and id."""
@@ -133,48 +144,44 @@ class Page:
         parts = [[x.lower() for x in _PART.findall(name)] for v in values for name in v.split()]
         return {x for words in parts if len(words) == 1 or not STATES.intersection(words) for x in words}
 
-    def _leaves(self, i: int, tag: str, inside: bool, holds: bool, rich: bool) -> bool:
-        if tag in ("nav", "footer", "aside", "head", "dialog") or (tag == "header" and not inside):
+    def _light(self, i: int, tag: str, inside: bool, holds: bool, rich: bool) -> bool:
+        if tag in ("nav", "footer", "aside", "dialog") or (tag == "header" and not inside):
             return True
         if tag in LEAVES_TAGS and not holds:
             return True
         if not self.attrs[i] or tag in ("html", "body", "main"):
             return False
-        role = ""
-        for k, v, hidden in _ATTR.findall(self.attrs[i]):
-            k, v = k.lower(), v.strip("\"'")
-            if hidden or (k == "hidden") or (k == "aria-hidden" and v == "true") or (k == "style" and _NONE_SHOWN.search(v)):
-                return True
-            if k == "role":
-                role = v.lower()
-        if role in LEAVES_ROLES:
+        if any(k.lower() == "role" and v.strip("\"'").lower() in LEAVES_ROLES for k, v, _ in _ATTR.findall(self.attrs[i])):
             return not holds
         words = LEAVES_WORDS & self._named(i)
         if not words or holds or rich:
             return False
         return bool(words & REMARKS) or tag != "article"
 
-    def marked(self, gone: list[bool], texts: list[str | None]) -> list[bool]:
+    def marked(self, gone: list[bool], light: list[bool], texts: list[str | None]) -> list[bool]:
         """Which nodes are content by composite text density."""
         n = len(self.tag)
-        c, lc, t, lt = [0] * n, [0] * n, [0] * n, [0] * n
+        c, lc, t, lt, weighed = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
         link = [False] * n
         for i in range(1, n):
             link[i] = link[self.parent[i]] or self.tag[i] == "a"
         for (node, _), text in zip(self.items, texts, strict=True):
             if text:
                 c[node] += len(text)
+                weighed[node] += len(text) * (LIGHT if light[node] else 1.0)
                 if link[node]:
                     lc[node] += len(text)
         for i in range(n - 1, 0, -1):
             if not gone[i]:
                 p = self.parent[i]
                 c[p] += c[i]
+                weighed[p] += weighed[i]
                 lc[p] += lc[i]
                 t[p] += t[i] + 1
                 lt[p] += lt[i] + (self.tag[i] == "a")
         body = next((i for i in range(n) if self.tag[i] == "body"), 0)
         share = lc[body] / c[body] if c[body] else 0.0
+        # the share of links is that of all characters; only characters for each tag are weighed
         # tags within a line count as tags, yet sums are those of blocks
         solid = [i == 0 or (x in BLOCKS and x not in VOID) for i, x in enumerate(self.tag)]
         above = [0] * n
@@ -185,7 +192,7 @@ class Page:
         for i in range(n - 1, -1, -1):
             if gone[i] or not c[i]:
                 continue
-            density[i] = c[i] / max(t[i], 1)
+            density[i] = weighed[i] / max(t[i], 1)
             base = math.log(math.log(c[i] / max(c[i] - lc[i], 1) * lc[i] + share * c[i] + math.e))
             if base > 0:
                 density[i] *= math.log(max(c[i] / max(lc[i], 1) * max(t[i], 1) / max(lt[i], 1), 1.0)) / base
@@ -194,12 +201,11 @@ class Page:
         for i in range(n):  # a block without dense blocks in it stands for itself
             if solid[i] and c[i] and not total[i]:
                 total[i] = density[i]
-        alive = [i for i in range(n) if not gone[i] and c[i]]
-        if not alive:
+        if all(gone[i] or light[i] or not c[i] for i in range(n) if solid[i] and i not in (0, body)) and not any(text and not light[node] for (node, _), text in zip(self.items, texts, strict=True)):
             return [False] * n
         best = list(range(n))  # node of the greatest sum within each subtree, the outermost if equal
         for i in range(n - 1, 0, -1):
-            if not gone[i] and c[i]:
+            if not gone[i] and not light[i] and c[i]:
                 p = self.parent[i]
                 if total[best[i]] > total[best[p]]:
                     best[p] = best[i]
@@ -217,14 +223,16 @@ class Page:
             if chosen[i]:
                 mark[best[i]] = True
         for i in range(1, n):
-            mark[i] |= mark[self.parent[i]]
+            p = self.parent[i]
+            faint = light[i] and not light[p] and density[i] < limit  # the root of a part of little weight
+            mark[i] = (mark[i] or mark[p]) and not faint and not (light[i] and light[p] and not mark[p])
         return mark
 
     def text(self) -> str:
-        gone = self.leaving()
+        gone, light = self.named()
         texts = [None if x is None or gone[node] else entities.unescape(x) for node, x in self.items]
         shown = [None if x is None else " ".join(x.split()) for x in texts]
-        mark = self.marked(gone, shown)
+        mark = self.marked(gone, light, shown)
         parts = [" " if text is None else text for (node, raw), text in zip(self.items, texts, strict=True) if raw is None or (text is not None and mark[node])]
         return " ".join("".join(parts).split())
 

@@ -153,6 +153,20 @@ def test_extract_cases():
     assert extract.extract(long) == " ".join(["words and words"] * 5000)
 
 
+def test_extract_by_density_alone(monkeypatch):
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(12)) + "</ul></div>"
+    text = "A long paragraph of main text that goes on and on, with enough words in it to be the text of the page."
+    main = "<div>" + f"<p>{text}</p>" * 4 + "</div>"
+    for page in (links + main, main + links, f"<div>{links}<div>{main}</div></div>", f"<table><tr><td>{links}</td><td>{main}</td></tr></table>"):  # nothing is named
+        assert extract.extract(f"<body>{page}</body>") == " ".join([text] * 4), page
+    named = f"<body><nav>{links}</nav>{main}<footer>Some words of a footer</footer></body>"
+    assert extract.extract(named) == " ".join([text] * 4)
+    monkeypatch.setattr(extract, "LIGHT", 1.0)  # names count nothing: density alone leaves out the links and not the footer's words
+    assert "Section" not in extract.extract(named)
+    monkeypatch.setattr(extract.Page, "marked", lambda self, gone, light, texts: [not x for x in gone])
+    assert "Section 3" in extract.extract(named) and "footer" in extract.extract(named)
+
+
 def test_extract_keeps_what_class_words_only_touch():
     text = "A long paragraph of main text that goes on and on, with enough words in it to be the text of the page."
     body = f"<p>{text}</p><p>{text}</p>"

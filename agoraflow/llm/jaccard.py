@@ -4,10 +4,12 @@ Texts with the same shingle set are one node. Sets that can reach the similarity
 n - ceil(0.75 n) + 1 of their sets in any common order; the order used is that of a sketch's counts, rare ones first, so
 passages of many documents seldom bring nodes together. Each such shingle is the root of a signature tree over the nodes
 that have it; of shingles with the same nodes one is enough. Leaves, in order of size, hold a bitmap of a set; inner
-nodes the OR of their children's bitmaps and the range of their sizes. Every candidate comes out of a tree, in two
-traversals: the first takes neighbouring leaves whose bitmaps allow a link, and the links among them join leaves to
-classes; the second descends from pairs of nodes, and leaves out those whose sizes, classes or greatest possible overlap
-exclude a link. Candidates are compared set by set. Components are found by star rounds.
+nodes the OR of their children's bitmaps and the range of their sizes. Every candidate comes out of a tree, and links join
+leaves to classes between traversals. The first takes neighbouring leaves whose bitmaps allow a link. The others descend from
+pairs of nodes, and leave out those whose sizes, classes or greatest possible overlap exclude a link: in trees of more than
+LARGE leaves first for the NEAREST candidates of each leaf alone, so that a group of near copies meets in one class and not
+pair by pair, then in all trees for every candidate that is left. Candidates are compared set by set. Components are found
+by star rounds.
 
 A tree has at most TILE leaves: a shingle of more nodes has several trees, which are traversed pair by pair. Texts are
 staged once with a number; sets are made again from them where they are needed, and which of them is told by one small
@@ -40,6 +42,8 @@ SKETCH, SLICES, SLICE = 1 << 20, 64, 1 << 18
 BROADCAST_ROWS = 200_000
 #: Leaves of a tree; texts made into sets together.
 TILE, ROWS = 2048, 512
+#: Leaves from which on a tree is traversed for the nearest candidates first; how many of a leaf are.
+LARGE, NEAREST = 64, 3
 #: Children of a tree node.
 FANOUT = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -368,9 +372,23 @@ def neighbours(size: np.ndarray, bits: list[np.ndarray]) -> tuple[np.ndarray, np
     return tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
 
-def traversed(rows: DataFrame, full: bool) -> DataFrame:
+def nearest(size: np.ndarray, bits: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of index pairs those that are, by bitmaps of one length, among the NEAREST of either side."""
+    k = min(map(len, bits))
+    short = np.stack([folded(b, k) for b in bits])
+    both = np.concatenate([np.bitwise_count(short[i[a : a + 4096]] ^ short[j[a : a + 4096]]).sum(1).astype(np.int64) for a in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
+    keep = np.zeros(len(i), bool)
+    for side in (i, j):
+        order = np.lexsort((np.abs(size[i] - size[j]), both, side))
+        begin = np.flatnonzero(np.diff(side[order], prepend=-1))
+        place = np.arange(len(order)) - np.repeat(begin, np.diff(begin, append=len(order)))
+        keep[order[place < NEAREST]] = True
+    return i[keep], j[keep]
+
+
+def traversed(rows: DataFrame, full: bool, near: bool = False) -> DataFrame:
     """Candidate pairs (a, b), a < b, from rows (h, t, u, tile, node, n, bits, label) sorted by h, t, u: the trees of tiles t and u of
-    a shingle, traversed from their roots (full), or the neighbouring leaves of one tree."""
+    a shingle, traversed from their roots (full; near: of each leaf the nearest), or the neighbouring leaves of one tree."""
 
     def pairs(group: list[tuple], apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node, size, label = (np.array([g[k] for g in group], np.int64) for k in (1, 2, 4))
@@ -382,6 +400,9 @@ def traversed(rows: DataFrame, full: bool) -> DataFrame:
             found = across(size, bits, label, side == side.min())
         else:
             found = tree_pairs(size, bits, label)
+        if near:
+            some = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)] or [np.zeros(0, np.int64)] * 2
+            found = [nearest(size, bits, *some)]
         for i, j in found:
             yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
 
@@ -462,6 +483,31 @@ def components(links: DataFrame) -> DataFrame:
     return staged(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
 
 
+def relabelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """members with the class of each node, itself where `label` (node, to) does not name it."""
+    return members.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("to", "node")).drop("to")
+
+
+def contracted(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, to) after links (a, b) join classes; only classes go through the star rounds."""
+    own = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("to").alias("_to")), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    joined = components(own(own(links, "a"), "b")).select(F.col("node").alias("to"), F.col("root").alias("last"))
+    moved = label.join(joined, "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    new = joined.join(label.select(F.col("node").alias("to")), "to", "left_anti").select(F.col("to").alias("node"), F.col("last").alias("to"))
+    return staged(moved.unionByName(new), "labels")
+
+
+def tree_tiles(members: DataFrame, least: int = 0) -> DataFrame:
+    """members with t and u, once for each pair of tiles of their shingle that is to be traversed; of shingles with more than `least` nodes."""
+    if least:
+        members = members.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least).select("h"), "h", "left_semi")
+    members = members.select("h", "node", "n", "tile", "bits", "label")
+    tiles = staged(tile_pairs(members), "tile-pairs")
+    one = members.join(tiles.withColumn("tile", F.col("t")), ["h", "tile"])
+    two = members.join(tiles.where("t < u").withColumn("tile", F.col("u")), ["h", "tile"])
+    return one.unionByName(two)
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, ref (a number of the row), mark and group of every document."""
     spark = docs.sparkSession
@@ -485,17 +531,12 @@ def link_documents(docs: DataFrame) -> DataFrame:
     first = linking(traversed(leaves, False), texts)
     freed(spark)
     label = components(first).withColumnRenamed("root", "to")
-    members = members.join(label, "node", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
-    tiles = staged(tile_pairs(members), "tile-pairs")
-    one = members.join(tiles.withColumn("tile", F.col("t")), ["h", "tile"])
-    two = members.join(tiles.where("t < u").withColumn("tile", F.col("u")), ["h", "tile"])
-    second = linking(traversed(one.unionByName(two), True), texts)
+    large = staged(tree_tiles(relabelled(members, label), LARGE), "large-trees")
+    if not large.isEmpty():
+        label = contracted(label, linking(traversed(large, True, near=True), texts))
+    rest = linking(traversed(tree_tiles(relabelled(members, label)), True), texts)
     freed(spark)
-    # only classes are left to be joined
-    named = lambda df, c: df.join(label.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")
-    joined = components(named(named(second, "a"), "b")).withColumnRenamed("node", "to").withColumnRenamed("root", "last")
-    roots = label.join(joined, "to", "left").select("node", F.coalesce("last", "to").alias("root"))
-    roots = staged(roots.unionByName(joined.join(label.select(F.col("node").alias("to")), "to", "left_anti").select(F.col("to").alias("node"), F.col("last").alias("root"))), "roots")
+    roots = contracted(label, rest).withColumnRenamed("to", "root")
     named_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named_nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = named_nodes.join(least, "root").select(F.col("key").alias("k"), "component_id", F.col("root").alias("group"))

@@ -90,7 +90,9 @@ def distinct(code: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.nda
     h = weights[code] * powers[place & 255]
     total = np.add.reduceat(h, at) if len(at) else np.zeros(0, np.uint64)
     total = (total ^ (total >> np.uint64(29))) * _BASE + size.astype(np.uint64)
-    _, where, which = np.unique(total, return_index=True, return_inverse=True)
+    found, which = np.unique(total, return_inverse=True)
+    where = np.empty(len(found), np.int64)
+    where[which] = np.arange(len(at))
     twin = where[which]
     same = size[twin] == size
     if same.all():

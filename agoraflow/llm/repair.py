@@ -38,8 +38,8 @@ TOKENIZER, END = "byte_bpe_50k.json", 2
 SHARD_IDS = 1 << 21
 #: A rule takes three numbers in the file and an occurrence saves one, so pairs of fewer occurrences are left.
 LEAST_COUNT = 4
-#: Pairs of a round are at least this part as frequent as the most frequent; from SIEVE on, pairs are counted by BITS of a hash first.
-DROP, SIEVE, BITS = 8, 64, 19
+#: Pairs of a round are at least this part as frequent as the most frequent; pairs are counted by BITS of a hash first.
+DROP, BITS = 8, 20
 #: Distinct pieces whose ids a worker remembers; texts encoded together.
 KNOWN, ROWS = 800_000, 1024
 MAGIC = b"RPAIR001"
@@ -67,20 +67,22 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.first = 1 + max(max(t.id for t in self.model.tokenize(c)) for c in self.char)
 
-    def _piece(self, word: str) -> bytes:
-        spelt = word.encode().decode("latin-1").translate(self.spelling)
-        return array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+    def _learned(self, words: list[str]) -> list[bytes]:
+        """The ids of words not known yet. They are spelt together, with a byte between them that UTF-8 does not have."""
+        spelt = b"\xff".join([w.encode() for w in words]).decode("latin-1").translate(self.spelling).split(self.char[255])
+        out = [array.array("I", [t.id for t in self.model.tokenize(own)]).tobytes() for own in spelt]
+        self.known.update(zip(words, out, strict=True))
+        return out
 
     def _pieces(self, texts: list[str]) -> list[np.ndarray]:
         s = pieces.split(texts)
         if len(self.known) > KNOWN:
             self.known.clear()
-        data = []
-        for word in s.distinct:
-            own = self.known.get(word)
-            if own is None:
-                own = self.known[word] = self._piece(word)
-            data.append(own)
+        data = list(map(self.known.get, s.distinct))
+        fresh = [k for k, own in enumerate(data) if own is None]
+        if fresh:
+            for k, own in zip(fresh, self._learned([s.distinct[k] for k in fresh]), strict=True):
+                data[k] = own
         flat = np.frombuffer(b"".join(data), np.uint32)
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
         start = np.cumsum(size) - size
@@ -107,13 +109,39 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _counted(a: np.ndarray, b: np.ndarray, inside: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the pairs that may occur `limit` times, the distinct pairs there, which of them each place has, and their counts."""
+def _bins(keys: np.ndarray) -> np.ndarray:
+    """A bin of 2^BITS for each pair."""
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _frequent(a: np.ndarray, b: np.ndarray, inside: np.ndarray, limit: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The limit, lowered to 1 / DROP as often as no bin of pairs reaches it; the places of pairs that occur `limit` times, which
+    of these pairs each place has, the pairs in ascending order, and their counts."""
     at = np.flatnonzero(inside)
-    if limit >= SIEVE:  # a count by hash leaves out most rare pairs, so that few are sorted
-        h = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - BITS)
-        at = at[(np.bincount(h[at], minlength=1 << BITS) >= limit)[h[at]]]
-    return (at, *np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True))
+    keys = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+    bins = _bins(keys)
+    room = np.bincount(bins, minlength=1 << BITS)
+    while limit > LEAST_COUNT and room.max() < limit:
+        limit = max(LEAST_COUNT, limit // DROP)
+    some = np.flatnonzero((room >= limit)[bins])  # leaves out most rare pairs, so that few are sorted
+    at, keys, bins = at[some], keys[some], bins[some]
+    ordered = np.sort(keys)
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    n = np.diff(begin, append=len(ordered))
+    pairs, n = ordered[begin[n >= limit]], n[n >= limit]
+    if not len(pairs):
+        return limit, at[:0], at[:0], pairs, n
+    holder = np.full(1 << BITS, -1, np.int64)
+    own = _bins(pairs)
+    holder[own] = np.arange(len(pairs))
+    which = holder[bins]
+    hit = (which >= 0) & (pairs[which] == keys)
+    shared = np.zeros(1 << BITS, bool)
+    shared[own[holder[own] != np.arange(len(pairs))]] = True  # bins of two such pairs: looked up in order
+    rest = np.flatnonzero(~hit & shared[bins])
+    found = np.minimum(np.searchsorted(pairs, keys[rest]), len(pairs) - 1)
+    which[rest], hit[rest] = found, pairs[found] == keys[rest]
+    return limit, at[hit], which[hit], pairs, n
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,17 +161,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
         inside = ~last[:-1]
         if fresh:
             inside &= (a >= fresh) | (b >= fresh)
-        at, pairs, of, n = _counted(a, b, inside, limit)
-        good = np.flatnonzero(n >= limit)
-        if not len(good):
+        limit, at, of, pairs, n = _frequent(a, b, inside, limit)
+        if not len(pairs):
             if limit == LEAST_COUNT and not fresh:
                 break
             limit, fresh = max(LEAST_COUNT, limit // DROP), 0
             continue
-        order = np.full(len(pairs), len(pairs), np.int64)
-        order[good[np.argsort(-n[good], kind="stable")]] = np.arange(len(good))
+        order = np.empty(len(pairs), np.int64)
+        order[np.argsort(-n, kind="stable")] = np.arange(len(pairs))
         mine = order[of]
-        at, mine = at[mine < len(pairs)], mine[mine < len(pairs)]
         # of overlapping pairs the more frequent one stays; of equal ones in a row every other one
         near = np.diff(at) == 1
         beaten = np.zeros(len(at), bool)
@@ -153,9 +179,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray,
         place = np.arange(len(at))
         even = (place - np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))) % 2 == 0
         at, mine = at[even], mine[even]
-        used, symbol = np.unique(mine, return_inverse=True)
-        pair = np.empty(len(good), np.uint64)
-        pair[order[good]] = pairs[good]
+        taken = np.bincount(mine, minlength=len(pairs)) > 0
+        used, symbol = np.flatnonzero(taken), (np.cumsum(taken) - 1)[mine]
+        pair = np.empty(len(pairs), np.uint64)
+        pair[order] = pairs
         left, right = (pair[used] >> np.uint64(32)).astype(np.uint32), pair[used].astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -176,14 +203,29 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
     """The ids that symbols stand for: what each nonterminal expands to is laid out once, then gathered for every symbol."""
     if not len(rules):
         return symbols.astype(np.uint32)
-    own: list[list[int]] = []
-    for a, b in rules.tolist():
-        own.append([*(own[a - first] if a >= first else (a,)), *(own[b - first] if b >= first else (b,))])
-    size = np.concatenate([np.ones(first, np.int64), np.array([len(x) for x in own], np.int64)])
-    flat = np.concatenate([np.arange(first, dtype=np.uint32), np.fromiter((i for x in own for i in x), np.uint32)])
-    start = np.cumsum(size) - size
-    count = size[symbols]
-    return flat[np.repeat(start[symbols] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    sides = rules.astype(np.int64)
+    reach = np.maximum.accumulate(sides.max(1))
+    size, steps, done = np.ones(first + len(rules), np.int64), [], 0
+    while done < len(rules):
+        stop = int(np.searchsorted(reach, first + done))  # rules over symbols that are laid out by then
+        if stop <= done:
+            raise ValueError("a rule over itself or a later one")
+        size[first + done : first + stop] = size[sides[done:stop]].sum(1)
+        steps.append((done, stop))
+        done = stop
+    end = np.cumsum(size)
+    start = end - size
+    flat = np.empty(end[-1], np.uint32)
+    flat[:first] = np.arange(first)
+
+    def gathered(own: np.ndarray) -> np.ndarray:
+        count = size[own]
+        ends = np.cumsum(count)
+        return flat[np.repeat(start[own] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    for done, stop in steps:
+        flat[start[first + done] : end[first + stop - 1]] = gathered(sides[done:stop].ravel())
+    return gathered(symbols.astype(np.int64))
 
 
 def pack(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, first: int, end: int = END) -> bytes:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agoraflow.llm import pieces
-from agoraflow.llm.shared import dropped, freed, fresh_path, open_file, staged, trimmed, whole_file
+from agoraflow.llm.shared import dropped, freed, fresh_path, open_file, removed, staged, trimmed, whole_file
 
 BLOCK_WORDS = 250_000
 #: Buckets of the literal map: a lookup walks through the few entries of one.
@@ -102,14 +102,16 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
-def packed(*columns: np.ndarray, data: bytes = b"") -> bytes:
-    """Columns of 32-bit numbers of one length, and bytes after them."""
-    return b"".join([np.uint32(len(columns[0])).tobytes(), *(planes(c.astype(np.uint32).tobytes()) for c in columns), data])
+def packed(numbers: np.ndarray, sizes: np.ndarray, data: bytes) -> bytes:
+    """Ascending numbers, as differences, as many sizes, and bytes after them, compressed."""
+    body = planes(np.diff(numbers, prepend=0).astype(np.uint32).tobytes()) + planes(sizes.astype(np.uint32).tobytes()) + data
+    return np.array([len(numbers), len(body)], np.uint32).tobytes() + pa.compress(body, "zstd", asbytes=True)
 
 
-def unpacked(data: bytes, columns: int) -> list:
-    n = int(np.frombuffer(data, np.uint32, 1)[0])
-    return [*(from_planes(data[4 + 4 * n * i : 4 + 4 * n * (i + 1)]) for i in range(columns)), data[4 + 4 * n * columns :]]
+def unpacked(row: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    n, size = np.frombuffer(row, np.uint32, 2).tolist()
+    body = pa.decompress(row[8:], size, "zstd", asbytes=True)
+    return np.cumsum(from_planes(body[: 4 * n]), dtype=np.uint32), from_planes(body[4 * n : 8 * n]), body[8 * n :]
 
 
 def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -134,7 +136,7 @@ def blocks(docs: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> Dat
             order = np.argsort(bucket, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
                 part = [held[i] for i in own.tolist()]
-                row = packed(own, np.array([len(w) for w in part]), data=b"".join(part))
+                row = packed(own, np.array([len(w) for w in part]), b"".join(part))
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(bucket[own[0]])], pa.int32()), pa.array([row], pa.binary())], schema=schema)
 
         for batch in batches:
@@ -190,7 +192,7 @@ def distinct_words(rows: DataFrame) -> DataFrame:
                 if bucket != at:
                     yield from told()
                     at = bucket
-                numbers, sizes, text = unpacked(data, 2)
+                numbers, sizes, text = unpacked(data)
                 end = np.cumsum(sizes).tolist()
                 which = np.fromiter((seen.setdefault(text[a:b], len(seen)) for a, b in zip([0, *end], end)), np.int64, len(end))
                 held.append((which, np.full(len(which), block, np.int64), numbers))
@@ -211,11 +213,11 @@ def by_block(encoded: DataFrame) -> DataFrame:
             flat, end = ids.flatten().to_numpy().astype(np.uint32), ids.offsets.to_numpy().astype(np.int64)
             end = end - end[0]
             start, size = end[:-1], np.diff(end)
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((number, block))
             rows = []
             for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1) if len(order) else ():
                 w = word[own]
-                rows.append((int(block[own[0]]), packed(number[own], size[w], data=planes(gathered(flat, start[w], size[w]).tobytes()))))
+                rows.append((int(block[own[0]]), packed(number[own], size[w], planes(gathered(flat, start[w], size[w]).tobytes()))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "data"])
         trimmed()
 
@@ -243,7 +245,7 @@ def write_tables(rows: DataFrame, folder: str) -> DataFrame:
                 if block != at:
                     close()
                     at, parts = block, []
-                parts.append(unpacked(data, 2))
+                parts.append(unpacked(data))
         close()
         yield pa.RecordBatch.from_pydict({"block": pa.array([b for b, _ in done], pa.int64()), "path": pa.array([p for _, p in done], pa.string())})
         trimmed()
@@ -260,10 +262,15 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
         raise ValueError("ranks are not 0, 1, 2 ...")
     held = spark.sparkContext.broadcast((b"".join(tokens), np.cumsum([0, *map(len, tokens)])))  # the vocabulary: a fixed size
     tasks = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    split = staged(blocks(docs, 4 * tasks, block_words), "bpe-split")
-    words = split.where("bucket IS NOT NULL").select("block", "bucket", "data")
-    distinct = distinct_words(words.repartition(tasks, "bucket").sortWithinPartitions("bucket"))
+    split = fresh_path(spark, "bpe-split")
+    blocks(docs, 4 * tasks, block_words).withColumn("words", F.col("bucket").isNotNull()).write.partitionBy("words").option("compression", "zstd").parquet(split)
+
+    def rows_of(words: bool) -> DataFrame:
+        return spark.read.schema("block long, doc_id long, bucket int, data binary, words boolean").parquet(split).where(F.col("words") == words)
+
+    distinct = distinct_words(rows_of(True).select("block", "bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket"))
     back = staged(by_block(distinct.select("blocks", "numbers", encoded_word(F.col("word"), ranks).alias("ids"))), "bpe-ids")
+    removed(spark, f"{split}/words=true")  # every encoding is in the table of ids by now
     freed(spark)
     folder = fresh_path(spark, "bpe-tables")
     write_tables(back.repartition(tasks, "block").sortWithinPartitions("block"), folder)
@@ -291,7 +298,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.binary()]))], names=["doc_id", "n_tokens", "ids", "decoded"])
         trimmed()
 
-    return split.where("bucket IS NULL").select("block", "doc_id", "data").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return rows_of(False).select("block", "doc_id", "data").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -94,9 +94,14 @@ def freed(spark: SparkSession) -> None:
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete staged tables that no later step reads."""
     for df in frames:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            removed(spark, folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared place, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trimmed() -> None:

@@ -146,7 +146,11 @@ def blocks(docs: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> Dat
                     own = []
                     for part in [group] if len(group) > 1 else [[p] for p in pieces.cut(group[0])]:
                         s = pieces.split(part)
-                        numbers = np.fromiter((number.setdefault(w, len(number)) for w in s.distinct), np.uint32, len(s.distinct))[s.which]
+                        # frequent words first: small numbers compress better
+                        first_come = np.argsort(-np.bincount(s.which, minlength=len(s.distinct)), kind="stable")
+                        own_number = np.empty(len(s.distinct), np.uint32)
+                        own_number[first_come] = np.fromiter((number.setdefault(s.distinct[k], len(number)) for k in first_come.tolist()), np.uint32, len(s.distinct))
+                        numbers = own_number[s.which]
                         own += [x.tobytes() for x in np.split(numbers, np.cumsum(s.counts)[:-1])]
                     data = [planes(x) for x in (own if len(group) > 1 else [b"".join(own)])]
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(ids[first:last], pa.int64()), pa.nulls(len(data), pa.int32()), pa.array(data, pa.binary())], schema=schema)
@@ -237,7 +241,7 @@ def write_tables(rows: DataFrame, folder: str) -> DataFrame:
             flat = np.concatenate([from_planes(p[2]) for p in parts])
             start, order = np.cumsum(sizes) - sizes, np.argsort(numbers)
             ids = gathered(flat, start[order], sizes[order])
-            body = np.uint64(len(sizes)).tobytes() + sizes[order].astype(np.uint32).tobytes() + ids.tobytes()
+            body = np.uint64(len(sizes)).tobytes() + planes(sizes[order].astype(np.uint32).tobytes()) + planes(ids.tobytes())
             done.append((at, whole_file(folder, f"{at}", pa.compress(body, "zstd", asbytes=True), len(body))))
 
         for batch in batches:
@@ -288,7 +292,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
                     if words and block != at:
                         body = open_file(folder, f"{block}")
                         n = int(np.frombuffer(body, np.uint64, 1)[0])
-                        size, flat = np.frombuffer(body, np.uint32, n, 8).astype(np.int64), np.frombuffer(body, np.uint32, -1, 8 + 4 * n)
+                        size, flat = from_planes(body[8 : 8 + 4 * n]).astype(np.int64), from_planes(body[8 + 4 * n :])
                         at, start = block, np.cumsum(size) - size
                     own = np.zeros(0, np.uint32)
                     if words:

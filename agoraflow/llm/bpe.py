@@ -2,8 +2,8 @@
 
 A word is a match of the split pattern. A first pass splits documents and writes, block by block, the block's distinct
 words, packed by hash into buckets, and each document as numbers of words. Buckets meet, and every distinct word of the
-corpus is encoded once: higher-order functions fold the ranked merges over its byte array, with ranks from a literal map
-of pairs of ids. The encodings return to the blocks as one file each, and documents are put together from them.
+corpus is encoded once: higher-order functions fold the ranked merges over its byte array, with ranks from a map of
+pairs of ids. The encodings return to the blocks as one file each, and documents are put together from them.
 Decoding concatenates the binary pieces of the ids.
 
 A block ends at BLOCK_WORDS distinct words, so neither a task nor a file grows with the corpus. What is shuffled are the
@@ -32,7 +32,7 @@ from agoraflow.llm import pieces
 from agoraflow.llm.shared import dropped, freed, fresh_path, open_file, removed, staged, trimmed, whole_file
 
 BLOCK_WORDS = 250_000
-#: Buckets of the literal map: a lookup walks through the few entries of one.
+#: Buckets of the map of pairs: a lookup walks through the few entries of one.
 BUCKETS = 1 << 16
 #: Texts, and words, in a batch that passes to Spark; blocks in a row of a word.
 ROWS, WORDS, PLACES = 256, 5_000, 10_000
@@ -46,7 +46,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: maps from a pair of ids, the left times 2^17 plus the right, to the id of both together, in an array by remainder."""
+    """Maps from a pair of ids, the left times 2^17 plus the right, to the id of both together, in an array by remainder. It is a
+    scalar subquery of one row: a literal is written out in every text of a plan, which the driver keeps. The optimizer
+    puts it where its column is used, so rows do not carry it."""
     buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         for i in range(1, len(token)):
@@ -54,7 +56,8 @@ def pair_map(ranks: dict[bytes, int]) -> Column:
             if a is not None and b is not None:
                 key = (a << 17) + b
                 buckets[(a ^ b) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>").cast("array<map<bigint,int>>")
+    row = pa.array([[list(b.items()) for b in buckets]], pa.list_(pa.map_(pa.int64(), pa.int32())))
+    return SparkSession.active().createDataFrame(pa.table({"pairs": row})).scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -62,8 +65,8 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def encoded_word(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids as array<int> of a word given as array<int> of its bytes: the pair of least rank, leftmost first, is merged
+def encoded_word(word: Column, pairs: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids as array<int> of a word given as array<int> of its bytes, with pair_map() in a column: the pair of least rank, leftmost first, is merged
     until no pair has a rank. The state is the ids, the ranks of neighbours and the least of these."""
     single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<int>")
     none = F.array().cast("array<int>")
@@ -90,7 +93,7 @@ def encoded_word(word: Column, ranks: dict[bytes, int]) -> Column:
         begun = _let(ids, lambda p: state(p, F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p)), rank)))
         return F.when(F.size(word) < 2, ids).otherwise(F.aggregate(F.slice(word, 2, F.size(word)), begun, lambda s, _: step(s), lambda s: s["p"]))
 
-    return _let(pair_map(ranks), fold)
+    return _let(pairs, fold)
 
 
 def planes(numbers: bytes) -> bytes:
@@ -273,7 +276,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
         return spark.read.schema("block long, doc_id long, bucket int, data binary, words boolean").parquet(split).where(F.col("words") == words)
 
     distinct = distinct_words(rows_of(True).select("block", "bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket"))
-    back = staged(by_block(distinct.select("blocks", "numbers", encoded_word(F.col("word"), ranks).alias("ids"))), "bpe-ids")
+    back = staged(by_block(distinct.withColumn("pairs", pair_map(ranks)).select("blocks", "numbers", encoded_word(F.col("word"), F.col("pairs"), ranks).alias("ids"))), "bpe-ids")
     removed(spark, f"{split}/words=true")  # every encoding is in the table of ids by now
     freed(spark)
     folder = fresh_path(spark, "bpe-tables")

@@ -8,8 +8,9 @@ nodes the OR of their children's bitmaps and the range of their sizes. Every can
 leaves to classes between traversals. The first takes neighbouring leaves whose bitmaps allow a link. The others descend from
 pairs of nodes, and leave out those whose sizes, classes or greatest possible overlap exclude a link: in trees of more than
 LARGE leaves first for the NEAREST candidates of each leaf alone, so that a group of near copies meets in one class and not
-pair by pair, then in all trees for every candidate that is left. Candidates are compared set by set. Components are found
-by star rounds.
+pair by pair, then in all trees for every candidate that is left. Of the trees in which two nodes meet only the largest
+tells their pair, as far as both have it among their KNOWN largest. Candidates are compared set by set. Components are
+found by star rounds.
 
 A tree has at most TILE leaves: a shingle of more nodes has several trees, which are traversed pair by pair. Texts are
 staged once with a number; sets are made again from them where they are needed, and which of them is told by one small
@@ -42,6 +43,8 @@ SKETCH, SLICES, SLICE = 1 << 20, 64, 1 << 18
 BROADCAST_ROWS = 200_000
 #: Leaves of a tree; texts made into sets together.
 TILE, ROWS = 2048, 512
+#: Roots of a node, the largest ones, by which a tree knows pairs that a larger one tells.
+KNOWN = 16
 #: Leaves from which on a tree is traversed for the nearest candidates first; how many of a leaf are.
 LARGE, NEAREST = 64, 3
 #: Children of a tree node.
@@ -123,29 +126,33 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 class Tree:
-    """Levels of nodes over sets in order of size: bitmaps, least and greatest size, most shingles lost to equal bits, class or -1 if mixed."""
+    """Levels of nodes over sets in order of size: bitmaps, least and greatest size, most shingles lost to equal bits, class or -1 if mixed,
+    larger roots of all leaves as bits."""
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, label: np.ndarray):
+    def __init__(self, bits: np.ndarray, size: np.ndarray, label: np.ndarray, known: np.ndarray | None = None):
         lost = size - np.bitwise_count(bits).sum(1).astype(np.int64)
-        self.levels = [(bits, size, size, lost, label)]
+        self.levels = [(bits, size, size, lost, label, np.zeros((len(bits), 0), np.uint64) if known is None else known)]
         while len(self.levels[-1][0]) > 1:
-            bits, low, high, lost, label = self.levels[-1]
+            bits, low, high, lost, label, known = self.levels[-1]
             at = np.arange(0, len(bits), FANOUT)
             same = np.minimum.reduceat(label, at) == np.maximum.reduceat(label, at)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at), np.where(same, label[at], -1)))
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(lost, at), np.where(same, label[at], -1), np.bitwise_and.reduceat(known, at)))
 
 
 def dual(a: Tree, b: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sets of both trees that may link; with same, trees are one and each pair comes once."""
+    """Index pairs of sets of both trees that may link and have no larger root in common; with same, trees are one and each pair comes once."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
-        bits, low, high, lost, label = a.levels[la]
-        bits2, low2, high2, lost2, label2 = b.levels[lb]
+        bits, low, high, lost, label, known = a.levels[la]
+        bits2, low2, high2, lost2, label2, known2 = b.levels[lb]
         keep = (100 * high[i] >= PERCENT * low2[j]) & (100 * high2[j] >= PERCENT * low[i]) & ((label[i] != label2[j]) | (label[i] < 0))
         if same:
             keep &= i < j if la == lb == 0 else i <= j
         i, j = i[keep], j[keep]
+        if known.shape[1]:
+            keep = ~np.concatenate([(known[i[k : k + 4096]] & known2[j[k : k + 4096]]).any(1) for k in range(0, len(i), 4096)] or [np.zeros(0, bool)])
+            i, j = i[keep], j[keep]
         most = np.concatenate([np.bitwise_count(bits[i[k : k + 4096]] & bits2[j[k : k + 4096]]).sum(1).astype(np.int64) for k in range(0, len(i), 4096)] or [np.zeros(0, np.int64)])
         keep = most + np.minimum(lost[i], lost2[j]) >= needed(low[i], low2[j])
         i, j = i[keep], j[keep]
@@ -163,29 +170,42 @@ def dual(a: Tree, b: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]
         i, j = i[inside], j[inside]
 
 
-def tree_pairs(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shared_roots(above: list[list[int]]) -> np.ndarray:
+    """For each set the roots in its list, as bits; those in one list alone have none."""
+    found, which, times = np.unique(np.array([h for own in above for h in own], np.int64), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    out = np.zeros((len(above), -(-int((times > 1).sum()) // 64) * 64), bool)
+    row = np.repeat(np.arange(len(above)), [len(own) for own in above])
+    some = times[which] > 1
+    out[row[some], column[which[some]]] = True
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def tree_pairs(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs that may link among sets with these sizes, bitmaps and classes: a tree for each length of bitmap; neighbouring lengths meet folded."""
     length = np.array([len(x) for x in bits])
+    known = np.zeros((len(bits), 0), np.uint64) if known is None else known
     order = np.argsort(size, kind="stable")
     kinds = {int(n): order[length[order] == n] for n in np.unique(length)}
-    trees = {n: Tree(np.stack([bits[k] for k in own]), size[own], label[own]) for n, own in kinds.items()}
+    trees = {n: Tree(np.stack([bits[k] for k in own]), size[own], label[own], known[own]) for n, own in kinds.items()}
     for n, own in kinds.items():
         for i, j in dual(trees[n], trees[n], True):
             yield own[i], own[j]
         if (more := kinds.get(2 * n)) is not None:
-            other = Tree(np.stack([folded(bits[k], n) for k in more]), size[more], label[more])
+            other = Tree(np.stack([folded(bits[k], n) for k in more]), size[more], label[more], known[more])
             for i, j in dual(trees[n], other, False):
                 yield own[i], more[j]
 
 
-def across(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def across(size: np.ndarray, bits: list[np.ndarray], label: np.ndarray, first: np.ndarray, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """As tree_pairs(), for pairs of a set in `first` and one that is not."""
     length = np.array([len(x) for x in bits])
+    known = np.zeros((len(bits), 0), np.uint64) if known is None else known
     order = np.argsort(size, kind="stable")
     sides = [{int(n): order[(length[order] == n) & (first[order] == side)] for n in np.unique(length)} for side in (True, False)]
 
     def tree(own: np.ndarray, n: int) -> Tree:
-        return Tree(np.stack([folded(bits[k], n) for k in own]), size[own], label[own])
+        return Tree(np.stack([folded(bits[k], n) for k in own]), size[own], label[own], known[own])
 
     for n, own in sides[0].items():
         for m, other in sides[1].items():
@@ -313,10 +333,17 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def one_of_each(meetings: DataFrame) -> DataFrame:
-    """meetings without the shingles whose nodes are those of another shingle."""
+    """meetings, with the number c of a shingle's nodes, without the shingles whose nodes are those of another shingle."""
     nodes = [F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("x")]
-    roots = meetings.groupBy("h").agg(*nodes).groupBy("c", "s", "x").agg(F.min("h").alias("h")).select("h")
-    return meetings.join(roots, "h", "left_semi")
+    roots = meetings.groupBy("h").agg(*nodes).groupBy("c", "s", "x").agg(F.min("h").alias("h")).select("h", "c")
+    return meetings.join(roots, "h")
+
+
+def with_larger(meetings: DataFrame) -> DataFrame:
+    """meetings with `above`: of the KNOWN roots of a node that have most nodes, those that come before its shingle in this order."""
+    tops = meetings.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "h")), False), 1, KNOWN).alias("_tops"))
+    before = lambda x: (x["c"] > F.col("c")) | ((x["c"] == F.col("c")) & (x["h"] > F.col("h")))
+    return meetings.join(tops, "node").withColumn("above", F.transform(F.filter("_tops", before), lambda x: x["h"])).drop("_tops", "c")
 
 
 def signatures(texts: DataFrame, folder: str) -> DataFrame:
@@ -387,19 +414,21 @@ def nearest(size: np.ndarray, bits: list[np.ndarray], i: np.ndarray, j: np.ndarr
 
 
 def traversed(rows: DataFrame, full: bool, near: bool = False) -> DataFrame:
-    """Candidate pairs (a, b), a < b, from rows (h, t, u, tile, node, n, bits, label) sorted by h, t, u: the trees of tiles t and u of
-    a shingle, traversed from their roots (full; near: of each leaf the nearest), or the neighbouring leaves of one tree."""
+    """Candidate pairs (a, b), a < b, from rows (h, t, u, tile, node, n, bits, label, above) sorted by h, t, u: the trees of tiles t and u of
+    a shingle, traversed from their roots (full; near: of each leaf the nearest), or the neighbouring leaves of one tree. A traversal
+    from roots leaves a pair to the largest shingle that both have above this one."""
 
     def pairs(group: list[tuple], apart: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node, size, label = (np.array([g[k] for g in group], np.int64) for k in (1, 2, 4))
         bits = [np.frombuffer(g[3], np.uint64) for g in group]
+        known = shared_roots([g[5] for g in group])
         if not full:
             found = [neighbours(size, bits)]
         elif apart:
             side = np.array([g[0] for g in group])
-            found = across(size, bits, label, side == side.min())
+            found = across(size, bits, label, side == side.min(), known)
         else:
-            found = tree_pairs(size, bits, label)
+            found = tree_pairs(size, bits, label, known)
         if near:
             some = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found)] or [np.zeros(0, np.int64)] * 2
             found = [nearest(size, bits, *some)]
@@ -430,7 +459,7 @@ def traversed(rows: DataFrame, full: bool, near: bool = False) -> DataFrame:
         trimmed()
 
     parts = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select("h", "t", "u", "tile", "node", "n", "bits", "label").repartition(parts, "h", "t", "u").sortWithinPartitions("h", "t", "u")
+    dealt = rows.select("h", "t", "u", "tile", "node", "n", "bits", "label", "above").repartition(parts, "h", "t", "u").sortWithinPartitions("h", "t", "u")
     return staged(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
 
 
@@ -501,7 +530,7 @@ def tree_tiles(members: DataFrame, least: int = 0) -> DataFrame:
     """members with t and u, once for each pair of tiles of their shingle that is to be traversed; of shingles with more than `least` nodes."""
     if least:
         members = members.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least).select("h"), "h", "left_semi")
-    members = members.select("h", "node", "n", "tile", "bits", "label")
+    members = members.select("h", "node", "n", "tile", "bits", "label", "above")
     tiles = staged(tile_pairs(members), "tile-pairs")
     one = members.join(tiles.withColumn("tile", F.col("t")), ["h", "tile"])
     two = members.join(tiles.where("t < u").withColumn("tile", F.col("u")), ["h", "tile"])
@@ -526,8 +555,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     taken = fresh_path(spark, "active")
     write_numbers(meetings.select("node"), taken)
     bits = staged(signatures(texts, taken), "signatures")
-    members = staged(meetings.join(bits, "node").withColumn("label", F.col("node")), "members")
-    leaves = members.withColumns({"t": F.col("tile"), "u": F.col("tile")})
+    members = staged(with_larger(meetings).join(bits, "node").withColumn("label", F.col("node")), "members")
+    leaves = members.withColumns({"t": F.col("tile"), "u": F.col("tile"), "above": F.array().cast("array<long>")})
     first = linking(traversed(leaves, False), texts)
     freed(spark)
     label = components(first).withColumnRenamed("root", "to")

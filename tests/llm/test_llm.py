@@ -226,6 +226,19 @@ def test_bpe_matches_library_and_decodes(spark):
     assert bpe.encode_documents(documents(spark, [])).count() == 0
 
 
+def test_bpe_plan_text_is_small(spark):
+    from pyspark.sql import functions as F
+
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.RANKS))
+    words = spark.createDataFrame([([*b" the"],)], "word array<int>").withColumn("pairs", bpe.pair_map(ranks))
+    encoded = words.select(bpe.encoded_word(F.col("word"), F.col("pairs"), ranks).alias("ids"))
+    assert [r.ids for r in encoded.collect()] == [[ranks[b" the"]]]
+    # a literal map took 10 MB of it; the driver keeps the text of every plan
+    assert len(encoded._jdf.queryExecution().toString()) < 100_000
+    # the map stays in the expression, no row carries it
+    assert "pairs" not in encoded._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+
+
 # ---- 4
 
 
@@ -667,6 +680,27 @@ def test_signature_tree_loses_no_pair():
     assert len(found) < len(sets) ** 2 / 8
 
 
+def test_signature_trees_tell_a_pair_once():
+    """In a family whose sets share many roots a pair comes out of its largest root's tree, and none is lost."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, 200).astype(np.uint64)
+    sets = [np.unique(np.where(rnd.random(200) < 0.1, rnd.integers(0, 1 << 63, 200).astype(np.uint64), base)) for _ in range(60)]
+    nodes = {int(h): [k for k, s in enumerate(sets) if h in s] for h in base[:60]}
+    order = sorted(nodes, key=lambda h: (len(nodes[h]), h), reverse=True)
+    tops = [[h for h in order if k in nodes[h]][: jaccard.KNOWN] for k in range(len(sets))]
+    size = np.array([len(s) for s in sets])
+    bits = [jaccard.bitmap(s, jaccard.bit_count(len(s))) for s in sets]
+    told = Counter()
+    for at, h in enumerate(order):
+        own = np.array(nodes[h])
+        larger = [[x for x in tops[k] if x in order[:at]] for k in own]
+        for i, j in jaccard.tree_pairs(size[own], [bits[k] for k in own], own, jaccard.shared_roots(larger)):
+            told.update((min(a, b), max(a, b)) for a, b in zip(own[i].tolist(), own[j].tolist(), strict=True))
+    some = jaccard.tree_pairs(size, bits, np.arange(len(sets)))
+    every = {(min(a, b), max(a, b)) for i, j in some for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    assert set(told) == every and len(every) > 100 and sum(told.values()) < 1.1 * len(every)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101)], "a long, b long")
     got = {r.node: r.root for r in jaccard.components(links).collect()}

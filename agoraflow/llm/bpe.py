@@ -105,6 +105,30 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+#: Least numbers of two, three and five bytes, and the first bytes from which on these are meant.
+LEAST, FIRST = np.array([0, 160, 160 + (64 << 8), 160 + (64 << 8) + (31 << 16)]), np.array([0, 160, 224, 255])
+
+
+def short(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Numbers, small ones in fewer bytes: the first byte of each, and the others, all lowest first. Apart they compress better."""
+    kind = np.searchsorted(LEAST, numbers, "right") - 1
+    rest = numbers.astype(np.int64) - LEAST[kind]
+    high = np.where(kind == 3, 0, rest >> 8 * kind)
+    others = [rest[kind >= least] >> shift & 255 for least, shift in ((1, 0), (2, 8), (3, 16), (3, 24))]
+    return (FIRST[kind] + high).astype(np.uint8).tobytes(), np.concatenate(others).astype(np.uint8).tobytes()
+
+
+def from_short(first: bytes, others: bytes) -> np.ndarray:
+    code, data, at = np.frombuffer(first, np.uint8).astype(np.int64), np.frombuffer(others, np.uint8), 0
+    kind = np.searchsorted(FIRST, code, "right") - 1
+    rest = code - FIRST[kind] << 8 * kind
+    for least, shift in ((1, 0), (2, 8), (3, 16), (3, 24)):
+        own = np.flatnonzero(kind >= least)
+        rest[own] |= data[at : at + len(own)].astype(np.int64) << shift
+        at += len(own)
+    return rest + LEAST[kind]
+
+
 def packed(numbers: np.ndarray, sizes: np.ndarray, data: bytes) -> bytes:
     """Ascending numbers, as differences, as many sizes, and bytes after them, compressed."""
     body = planes(np.diff(numbers, prepend=0).astype(np.uint32).tobytes()) + planes(sizes.astype(np.uint32).tobytes()) + data
@@ -124,8 +148,8 @@ def gathered(source: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
 
 
 def blocks(docs: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (block, bucket, data) with the distinct words of a block that fall into a bucket by hash, and rows (block, doc_id, data) with the numbers of each document's words."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
+    """Rows (block, bucket, data) with the distinct words of a block that fall into a bucket by hash, and rows (block, doc_id, data, others) with the numbers of each document's words."""
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("others", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
@@ -140,7 +164,7 @@ def blocks(docs: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> Dat
             for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else ():
                 part = [held[i] for i in own.tolist()]
                 row = packed(own, np.array([len(w) for w in part]), b"".join(part))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(bucket[own[0]])], pa.int32()), pa.array([row], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(bucket[own[0]])], pa.int32()), pa.array([row], pa.binary()), pa.nulls(1, pa.binary())], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -154,16 +178,16 @@ def blocks(docs: DataFrame, buckets: int, block_words: int = BLOCK_WORDS) -> Dat
                         own_number = np.empty(len(s.distinct), np.uint32)
                         own_number[first_come] = np.fromiter((number.setdefault(s.distinct[k], len(number)) for k in first_come.tolist()), np.uint32, len(s.distinct))
                         numbers = own_number[s.which]
-                        own += [x.tobytes() for x in np.split(numbers, np.cumsum(s.counts)[:-1])]
-                    data = [planes(x) for x in (own if len(group) > 1 else [b"".join(own)])]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(ids[first:last], pa.int64()), pa.nulls(len(data), pa.int32()), pa.array(data, pa.binary())], schema=schema)
+                        own += np.split(numbers, np.cumsum(s.counts)[:-1])
+                    data, others = zip(*map(short, own if len(group) > 1 else [np.concatenate(own)]), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(ids[first:last], pa.int64()), pa.nulls(len(data), pa.int32()), pa.array(data, pa.binary()), pa.array(others, pa.binary())], schema=schema)
                     if len(number) >= block_words:
                         yield from words()
                         block += 1
         yield from words()
         trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, doc_id long, bucket int, data binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, doc_id long, bucket int, data binary, others binary")
 
 
 def distinct_words(rows: DataFrame) -> DataFrame:
@@ -273,7 +297,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
     blocks(docs, 4 * tasks, block_words).withColumn("words", F.col("bucket").isNotNull()).write.partitionBy("words").option("compression", "zstd").parquet(split)
 
     def rows_of(words: bool) -> DataFrame:
-        return spark.read.schema("block long, doc_id long, bucket int, data binary, words boolean").parquet(split).where(F.col("words") == words)
+        return spark.read.schema("block long, doc_id long, bucket int, data binary, others binary, words boolean").parquet(split).where(F.col("words") == words)
 
     distinct = distinct_words(rows_of(True).select("block", "bucket", "data").repartition(tasks, "bucket").sortWithinPartitions("bucket"))
     back = staged(by_block(distinct.withColumn("pairs", pair_map(ranks)).select("blocks", "numbers", encoded_word(F.col("word"), F.col("pairs"), ranks).alias("ids"))), "bpe-ids")
@@ -291,7 +315,7 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part, out = batch.slice(i, ROWS), []
-                for block, words in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for block, words, others in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                     if words and block != at:
                         body = open_file(folder, f"{block}")
                         n = int(np.frombuffer(body, np.uint64, 1)[0])
@@ -299,13 +323,13 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, block_words:
                         at, start = block, np.cumsum(size) - size
                     own = np.zeros(0, np.uint32)
                     if words:
-                        w = from_planes(words)
+                        w = from_short(words, others)
                         own = gathered(flat, start[w], size[w])
                     out.append((len(own), own.tobytes(), gathered(data, begin[own], length[own]).tobytes()))
                 yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array([r[k] for r in out], t) for k, t in enumerate([pa.int64(), pa.binary(), pa.binary()]))], names=["doc_id", "n_tokens", "ids", "decoded"])
         trimmed()
 
-    return rows_of(False).select("block", "doc_id", "data").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return rows_of(False).select("block", "doc_id", "data", "others").mapInArrow(join, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -239,6 +239,16 @@ def test_bpe_plan_text_is_small(spark):
     assert "pairs" not in encoded._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
 
 
+def test_short_numbers():
+    edges = [x + d for x in (*bpe.LEAST.tolist(), 255, 1 << 16, 1 << 24) for d in (-1, 0, 1) if x + d >= 0] + [(1 << 32) - 1]
+    numbers = np.array([*edges, *np.random.default_rng(5).integers(0, 1 << 32, 500), *edges[::-1]], np.uint32)
+    assert (bpe.from_short(*bpe.short(numbers)) == numbers).all() and len(bpe.from_short(*bpe.short(numbers[:0]))) == 0
+    small = np.minimum(np.random.default_rng(6).zipf(1.3, 20_000), 250_000).astype(np.uint32)
+    first, others = bpe.short(small)
+    whole = len(zlib.compress(bpe.planes(small.tobytes())))
+    assert (bpe.from_short(first, others) == small).all() and len(zlib.compress(first)) + len(zlib.compress(others)) < 0.95 * whole
+
+
 # ---- 4
 
 

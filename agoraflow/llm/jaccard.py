@@ -9,8 +9,9 @@ leaves to classes between traversals. The first takes neighbouring leaves whose
 pairs of nodes, and leave out those whose sizes, classes or greatest possible overlap exclude a link: in trees of more than
 LARGE leaves first for the NEAREST candidates of each leaf alone, so that a group of near copies meets in one class and not
 pair by pair, then in all trees for every candidate that is left. Of the trees in which two nodes meet only the largest
-tells their pair, as far as both have it among their KNOWN largest. Candidates are compared set by set. Components are
-found by star rounds.
+tells their pair, as far as both have it among their KNOWN largest. Bitmaps, the widest column, come last: only to leaves that
+some other leaf of their tree can link with by size, class and larger roots, and for the first traversal each pair of
+neighbours stays in one tree. Candidates are compared set by set. Components are found by star rounds.
 
 A tree has at most TILE leaves: a shingle of more nodes has several trees, which are traversed pair by pair. Texts are
 staged once with a number; sets are made again from them where they are needed, and which of them is told by one small
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agoraflow.llm import pieces
@@ -47,6 +48,8 @@ TILE, ROWS = 2048, 512
 KNOWN = 16
 #: Leaves from which on a tree is traversed for the nearest candidates first; how many of a leaf are.
 LARGE, NEAREST = 64, 3
+#: Rows of a tree or a pair of tiles beyond which all get their bitmaps.
+PAIRWISE = 256
 #: Children of a tree node.
 FANOUT = 16
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -459,7 +462,7 @@ def traversed(rows: DataFrame, full: bool, near: bool = False) -> DataFrame:
         trimmed()
 
     parts = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select("h", "t", "u", "tile", "node", "n", "bits", "label", "above").repartition(parts, "h", "t", "u").sortWithinPartitions("h", "t", "u")
+    dealt = rows.select("h", "t", "u", "tile", "node", "n", "bits", "label", "above").repartition(parts, "h", "t", "u").sortWithinPartitions("h", "t", "u", "n", "node")
     return staged(dealt.mapInArrow(run, "a long, b long").distinct(), "candidates")
 
 
@@ -526,15 +529,78 @@ def contracted(label: DataFrame, links: DataFrame) -> DataFrame:
     return staged(moved.unionByName(new), "labels")
 
 
-def tree_tiles(members: DataFrame, least: int = 0) -> DataFrame:
-    """members with t and u, once for each pair of tiles of their shingle that is to be traversed; of shingles with more than `least` nodes."""
+def side_by_side(members: DataFrame) -> DataFrame:
+    """(h, t, u, tile, node, n, label, above) of leaves whose neighbour in order of size is near enough in size; each pair of neighbours in one tree alone."""
+    order = Window.partitionBy("h", "tile").orderBy("n", "node")
+    pairs = members.select("h", "tile", "node", "n", F.lead("node").over(order).alias("node2"), F.lead("n").over(order).alias("n2")).where(100 * F.col("n") >= PERCENT * F.col("n2"))
+    ends = F.sort_array(F.array(F.struct("node", "n"), F.struct(F.col("node2").alias("node"), F.col("n2").alias("n"))))
+    once = pairs.groupBy(ends.alias("ends")).agg(F.min(F.struct("h", "tile")).alias("of"))
+    rows = once.select("of.h", "of.tile", F.explode("ends").alias("end")).select("h", "tile", "end.node", "end.n").distinct()
+    return rows.withColumns({"t": F.col("tile"), "u": F.col("tile"), "label": F.col("node"), "above": F.array().cast("array<long>")})
+
+
+def promising(rows: DataFrame) -> DataFrame:
+    """Of rows (h, t, u, tile, node, n, label, above) those of nodes that some other node of their tree or pair of tiles can link with by
+    size, class and larger roots, as dual() tests leaves; of groups of more than PAIRWISE rows all."""
+    kind = "h long, t int, u int, tile int, node long, n int, label long, above array<long>"
+
+    def useful(group: list[tuple]) -> list[bool] | np.ndarray:
+        if len(group) > PAIRWISE:
+            return [True] * len(group)
+        if len(group) == 2:
+            (tile, _, n, label, above), (tile2, _, n2, label2, above2) = group
+            return [100 * min(n, n2) >= PERCENT * max(n, n2) and label != label2 and set(above).isdisjoint(above2)] * 2
+        n, label = (np.array([g[k] for g in group], np.int64) for k in (2, 3))
+        may = (100 * n[:, None] >= PERCENT * n) & (label[:, None] != label)
+        may &= may.T
+        if may.any():
+            for known in shared_roots([g[4] for g in group]).T:
+                may &= (known[:, None] & known) == 0
+        return may.any(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, schema = None, [], None
+        held: list[tuple] = []
+
+        def close() -> None:
+            if len(group) > 1:
+                held.extend((*at, *row) for row, keep in zip(group, useful(group), strict=True) if keep)
+
+        def told() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*held, strict=True))], schema=schema)
+            held.clear()
+            return out
+
+        for batch in batches:
+            schema = batch.schema
+            for i in range(0, batch.num_rows, ROWS):
+                for h, t, u, *row in zip(*(c.to_pylist() for c in batch.slice(i, ROWS).columns), strict=True):
+                    if (h, t, u) != at:
+                        close()
+                        at, group = (h, t, u), []
+                    group.append(tuple(row))
+                if len(held) >= ROWS:
+                    yield told()
+        close()
+        if held:
+            yield told()
+        trimmed()
+
+    parts = max(12, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.select("h", "t", "u", "tile", "node", "n", "label", "above").repartition(parts, "h", "t", "u").sortWithinPartitions("h", "t", "u")
+    return dealt.mapInArrow(run, kind)
+
+
+def tree_tiles(members: DataFrame, bits: DataFrame, least: int = 0) -> DataFrame:
+    """The promising() of members, with bits, t and u, once for each pair of tiles of their shingle that is to be traversed; of shingles with more
+    than `least` nodes."""
     if least:
         members = members.join(members.groupBy("h").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > least).select("h"), "h", "left_semi")
-    members = members.select("h", "node", "n", "tile", "bits", "label", "above")
+    members = members.select("h", "node", "n", "tile", "label", "above")
     tiles = staged(tile_pairs(members), "tile-pairs")
     one = members.join(tiles.withColumn("tile", F.col("t")), ["h", "tile"])
     two = members.join(tiles.where("t < u").withColumn("tile", F.col("u")), ["h", "tile"])
-    return one.unionByName(two)
+    return promising(one.unionByName(two)).join(bits, "node")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -548,22 +614,26 @@ def link_documents(docs: DataFrame) -> DataFrame:
     named = fresh_path(spark, "nodes")
     write_numbers(nodes.select("node"), named)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meetings = staged(met(prefixes(texts, named, sketch).repartition(parts, "h").sortWithinPartitions("h", "n", "node")), "meetings")
+    every = staged(met(prefixes(texts, named, sketch).repartition(parts, "h").sortWithinPartitions("h", "n", "node")), "meetings")
     freed(spark)
-    meetings = staged(one_of_each(meetings), "roots")
+    meetings = staged(one_of_each(every), "roots")
+    dropped(spark, every)
     freed(spark)
     taken = fresh_path(spark, "active")
     write_numbers(meetings.select("node"), taken)
     bits = staged(signatures(texts, taken), "signatures")
-    members = staged(with_larger(meetings).join(bits, "node").withColumn("label", F.col("node")), "members")
-    leaves = members.withColumns({"t": F.col("tile"), "u": F.col("tile"), "above": F.array().cast("array<long>")})
-    first = linking(traversed(leaves, False), texts)
+    members = staged(with_larger(meetings).withColumn("label", F.col("node")), "members")
+    dropped(spark, meetings)
+    first = linking(traversed(side_by_side(members).join(bits, "node"), False), texts)
     freed(spark)
     label = components(first).withColumnRenamed("root", "to")
-    large = staged(tree_tiles(relabelled(members, label), LARGE), "large-trees")
+    large = staged(tree_tiles(relabelled(members, label), bits, LARGE), "large-trees")
     if not large.isEmpty():
         label = contracted(label, linking(traversed(large, True, near=True), texts))
-    rest = linking(traversed(tree_tiles(relabelled(members, label)), True), texts)
+    dropped(spark, large)
+    freed(spark)
+    rest = linking(traversed(tree_tiles(relabelled(members, label), bits), True), texts)
+    dropped(spark, texts, bits, members)
     freed(spark)
     roots = contracted(label, rest).withColumnRenamed("to", "root")
     named_nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

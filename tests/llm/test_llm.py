@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -374,6 +375,20 @@ def test_divergence_rejects_far_texts_and_keeps_columns(spark):
     assert divergence.keep_good(documents(spark, [])).count() == 0
 
 
+def test_divergence_stages_each_text_once(spark, monkeypatch):
+    made, write = [], divergence.staged
+
+    def noted(df, name):
+        made.append((name, write(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(divergence, "staged", noted)
+    text = "a passage that no other column holds " * 20
+    assert divergence.keep_good(documents(spark, [(1, text), (2, text)])).columns == documents(spark, []).columns
+    (figures,) = (df for name, df in made if name == "figures")
+    assert sum(v == text for v in figures.first()) == 1
+
+
 # ---- 6
 
 
@@ -650,6 +665,48 @@ def test_jaccard_links_come_out_of_trees(spark, monkeypatch):
     assert jaccard.link_documents(docs).select("component_id").distinct().count() >= texts - 5  # without trees only equal sets are joined
 
 
+def test_jaccard_bitmaps_go_only_where_a_link_is_possible(spark, monkeypatch):
+    """Every row that is traversed from roots has a partner by size, class and larger roots; texts, bitmaps and members go when they are used up."""
+    found, given, made = jaccard.traversed, [], []
+    write = jaccard.staged
+
+    def taken(rows, full, near=False):
+        given.append((full, rows.drop("bits").collect()))
+        return found(rows, full, near)
+
+    def noted(df, name):
+        made.append((name, write(df, name)))
+        return made[-1][1]
+
+    monkeypatch.setattr(jaccard, "traversed", taken)
+    monkeypatch.setattr(jaccard, "staged", noted)
+    monkeypatch.setattr(jaccard, "TILE", 16)
+    jaccard.link_documents(documents(spark, near_copies(80, 17)))
+    assert given[0][1] and not given[0][0]
+    for full, some in given[1:]:
+        trees = {}
+        for r in some:
+            trees.setdefault((r.h, r.t, r.u), []).append(r)
+        for own in trees.values():
+            for r in own:
+                assert any(r.label != o.label and 100 * min(r.n, o.n) >= 75 * max(r.n, o.n) and not set(r.above) & set(o.above) for o in own)
+    gone = {n for n, df in made if n in ("texts", "meetings", "roots", "signatures", "members") and not os.path.exists(df.inputFiles()[0].removeprefix("file://"))}
+    assert gone == {"texts", "meetings", "roots", "signatures", "members"}
+
+
+def test_promising_keeps_what_can_link(spark):
+    """By brute force, in groups of one tile and of two, small and large ones."""
+    rnd = random.Random(23)
+    rows = [(h, 0, h % 2, rnd.randrange(1 + h % 2), 1000 * h + k, rnd.randrange(20, 60), rnd.randrange(4), rnd.sample(range(9), rnd.randrange(4))) for h in range(60) for k in range(rnd.choice([1, 2, 3, 9]) if h else 300)]
+    got = jaccard.promising(spark.createDataFrame(rows, "h long, t int, u int, tile int, node long, n int, label long, above array<long>").repartition(5)).collect()
+
+    def may(a, b):
+        return a[:3] == b[:3] and a[6] != b[6] and 100 * min(a[5], b[5]) >= 75 * max(a[5], b[5]) and not set(a[7]) & set(b[7])
+
+    want = [r for r in rows if not r[0] or any(may(r, o) for o in rows if o is not r)]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) < len(rows)
+
+
 def test_shingles_are_those_of_the_words():
     texts = ["A b\x0bc D e f", "a B c d E f", "", None, " x ", "é É ü", "a b c d e " * 3, "w" * 300 + " q"]
     sets = jaccard.shingle_sets(texts)
